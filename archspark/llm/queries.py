@@ -3,16 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archspark.llm import bpe
+from archspark.llm import bpe, leakage, splitting
 from archspark.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that had to be cut, and how."""
+    return p3_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_no", "cut")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every oversized chunk."""
+    return splitting.split(table(spark, sf_dir, "chunks"))
+
+
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cut chunk put together again from its pieces: bytes, least and most offsets, and a digest of the text."""
+    own = F.expr("cast(substring(cast(text as binary), cast(own_start - byte_start as int) + 1, 1000000) as string)")
+    parts = p3_pieces(spark, sf_dir).withColumn("own", own)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")
+    return parts.groupBy("chunk_no").agg(F.min("byte_start").alias("first_byte"), F.max("byte_end").alias("last_byte"), F.sha2(whole, 256).alias("digest"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids}
-
-SQL: dict[str, str] = {}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 12 consecutive words of an evaluation item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p8_ids": p8_ids, "p9_found": p9_found}
+
+SQL: dict[str, str] = {
+    "p3_found": """
+SELECT chunk_no, CASE WHEN list_max(list_transform(string_split(text || chr(10), chr(10)), x -> strlen(x) + 1)) - 1 > 8000
+    OR list_max(list_transform(string_split(text, chr(10))[:-2], x -> strlen(x) + 1)) > 8000 THEN 'forced' ELSE 'natural' END AS cut
+FROM (SELECT DISTINCT chunk_no, text FROM chunks WHERE strlen(text) > 8000)""",
+    "p3_cover": """
+SELECT chunk_no, byte_start AS first_byte, byte_start + strlen(text) AS last_byte, sha256(text) AS digest
+FROM (SELECT DISTINCT chunk_no, text, byte_start FROM chunks WHERE strlen(text) > 8000)""",
+    "p9_found": """
+WITH item AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+gram AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), i -> array_to_string(w[i:i + 11], ' '))) AS g FROM item WHERE len(w) >= 12),
+doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+shingle AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), i -> array_to_string(w[i:i + 11], ' '))) AS g FROM doc WHERE len(w) >= 12)
+SELECT DISTINCT s.doc_id, i.item_id FROM shingle s JOIN gram i ON i.g = s.g""",
+}
