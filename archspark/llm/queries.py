@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import bpe, leakage, splitting
+from archspark.llm import bpe, docpairs, leakage, splitting
 from archspark.session import table
 
 
@@ -27,6 +27,16 @@ def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("chunk_no").agg(F.min("byte_start").alias("first_byte"), F.max("byte_end").alias("last_byte"), F.sha2(whole, 256).alias("digest"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function chunks with documentation that says something."""
+    return docpairs.pairs(table(spark, sf_dir, "chunks"), with_texts=False)
+
+
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, description and code of these functions."""
+    return docpairs.pairs(table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"))
@@ -37,20 +47,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {
     "p3_found": """
-SELECT chunk_no, CASE WHEN list_max(list_transform(string_split(text || chr(10), chr(10)), x -> strlen(x) + 1)) - 1 > 8000
-    OR list_max(list_transform(string_split(text, chr(10))[:-2], x -> strlen(x) + 1)) > 8000 THEN 'forced' ELSE 'natural' END AS cut
+SELECT chunk_no, CASE WHEN list_max([strlen(x) + 1 FOR x IN string_split(text, chr(10))[:-2]]) > 8000
+    OR strlen(string_split(text, chr(10))[-1]) > 8000 THEN 'forced' ELSE 'natural' END AS cut
 FROM (SELECT DISTINCT chunk_no, text FROM chunks WHERE strlen(text) > 8000)""",
     "p3_cover": """
 SELECT chunk_no, byte_start AS first_byte, byte_start + strlen(text) AS last_byte, sha256(text) AS digest
 FROM (SELECT DISTINCT chunk_no, text, byte_start FROM chunks WHERE strlen(text) > 8000)""",
     "p9_found": """
 WITH item AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
-gram AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), i -> array_to_string(w[i:i + 11], ' '))) AS g FROM item WHERE len(w) >= 12),
+gram AS (SELECT item_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM item WHERE len(w) >= 12),
 doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-shingle AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), i -> array_to_string(w[i:i + 11], ' '))) AS g FROM doc WHERE len(w) >= 12)
+shingle AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM doc WHERE len(w) >= 12)
 SELECT DISTINCT s.doc_id, i.item_id FROM shingle s JOIN gram i ON i.g = s.g""",
 }
