@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import bpe, docpairs, leakage, splitting
+from archspark.llm import bpe, docpairs, leakage, splitting, syntax
 from archspark.session import table
 
 
@@ -27,6 +27,21 @@ def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("chunk_no").agg(F.min("byte_start").alias("first_byte"), F.max("byte_end").alias("last_byte"), F.sha2(whole, 256).alias("digest"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that do not parse as the language of their extension."""
+    return syntax.faults(table(spark, sf_dir, "files")).select("file_id")
+
+
+def p5_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """These files with furthest failure and cause."""
+    return syntax.faults(table(spark, sf_dir, "files"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per repository and language beside the recorded ``files_failed``."""
+    return syntax.rates(table(spark, sf_dir, "files"), table(spark, sf_dir, "run_statistics"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function chunks with documentation that says something."""
     return docpairs.pairs(table(spark, sf_dir, "chunks"), with_texts=False)
@@ -47,7 +62,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {
     "p3_found": """
