@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import bpe, docpairs, leakage, splitting, syntax
+from archspark.llm import bpe, docpairs, leakage, secrets, splitting, syntax
 from archspark.session import table
 
 
+def _secret_model(spark: SparkSession, sf_dir: str):
+    """Both tables and the model trained on a bounded sample of each."""
+    index, requests = table(spark, sf_dir, "chunk_index"), table(spark, sf_dir, "requests")
+    texts = secrets.sample(index, "point_id", "text", "path", secrets.TRAIN_TEXTS) + secrets.sample(requests, "id", "prompt", None, secrets.TRAIN_TEXTS)
+    return index, requests, secrets.train(texts)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every credential in the indexed chunks and in the prompts."""
+    index, requests, model = _secret_model(spark, sf_dir)
+    a = secrets.find(index, model, id_column="point_id", text_column="text", path_column="path").withColumn("tbl", F.lit("chunk_index"))
+    b = secrets.find(requests, model, id_column="id", text_column="prompt").withColumn("tbl", F.lit("requests"))
+    return a.unionByName(b).select("tbl", "row_id", "secret")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both texts of every row with the credentials masked."""
+    index, requests, model = _secret_model(spark, sf_dir)
+    a = secrets.redacted(index, model, id_column="point_id", text_column="text", path_column="path").withColumn("tbl", F.lit("chunk_index"))
+    b = secrets.redacted(requests, model, id_column="id", text_column="prompt").withColumn("tbl", F.lit("requests"))
+    return a.unionByName(b).select("tbl", "row_id", "text").dropDuplicates(["tbl", "row_id"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that had to be cut, and how."""
     return p3_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_no", "cut")
@@ -62,7 +85,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {
     "p3_found": """
