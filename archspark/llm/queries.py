@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import bpe, docpairs, leakage, secrets, splitting, syntax
+from archspark.llm import bpe, docpairs, leakage, provenance, secrets, splitting, syntax
 from archspark.session import table
 
 
@@ -32,6 +32,16 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).select("tbl", "row_id", "text").dropDuplicates(["tbl", "row_id"])
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that people did not write for their repository."""
+    return p2_causes(spark, sf_dir).select("file_id")
+
+
+def p2_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """These files with the reason."""
+    return provenance.files_to_remove(table(spark, sf_dir, "files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that had to be cut, and how."""
     return p3_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_no", "cut")
@@ -85,7 +95,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_causes": p2_causes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {
     "p3_found": """
