@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import bpe, docpairs, leakage, provenance, secrets, splitting, syntax
+from archspark.llm import bpe, docpairs, leakage, pairs, provenance, secrets, splitting, syntax
 from archspark.session import table
 
 
@@ -75,6 +75,12 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(table(spark, sf_dir, "files"), table(spark, sf_dir, "run_statistics"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs of prompt and response, with their defect."""
+    requests = table(spark, sf_dir, "requests")
+    return pairs.defects(requests, pairs.train(pairs.sample(requests)))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function chunks with documentation that says something."""
     return docpairs.pairs(table(spark, sf_dir, "chunks"), with_texts=False)
@@ -95,7 +101,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_causes": p2_causes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_causes": p2_causes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {
     "p3_found": """
