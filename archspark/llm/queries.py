@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import bpe, docpairs, leakage, pairs, provenance, secrets, splitting, syntax
+from archspark.llm import bpe, docpairs, leakage, pairs, provenance, reading, secrets, splitting, syntax
 from archspark.session import table
 
 
@@ -101,7 +101,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_causes": p2_causes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading grade of every prose document."""
+    return reading.grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_causes": p2_causes, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p5_found": p5_found, "p5_faults": p5_faults, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found,
+    "p10_found": p10_found,
+}
 
 SQL: dict[str, str] = {
     "p3_found": """
