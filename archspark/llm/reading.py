@@ -66,8 +66,6 @@ def sentences(text: str) -> list[str]:
         text = _BREAK.sub("\n\n", text)
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
-    if _ASIDE_SIGNS.search(text):
-        text = _ASIDE.sub(" ", text)
     out: list[str] = []
     for block in _BLANK.split(text):
         lines = [x for x in block.split("\n") if x.strip()]
@@ -75,7 +73,7 @@ def sentences(text: str) -> list[str]:
         if not kept:
             continue
         bodies = [_ITEM.sub("", x, count=1) if _ITEM.match(x) else x for x in kept]
-        codey = sum(bool(_CODE_SIGNS.search(b) and _CODE.search(b)) for b in bodies)
+        codey = sum(bool(_CODE_SIGNS.search(b) and _CODE.search(b) and _CODE.search(_ASIDE.sub(" ", b))) for b in bodies)
         if codey > 0.4 * len(bodies):
             continue
         units: list[str] = []
@@ -87,8 +85,10 @@ def sentences(text: str) -> list[str]:
             else:
                 units[-1] += " " + body.strip()
         for unit in units:
+            if _ASIDE_SIGNS.search(unit):
+                unit = _ASIDE.sub(" ", unit)
             for s in _SENTENCE.split(unit):
-                words = s.count(" ") + 1
+                words = len(s.split())
                 if words >= 3 and not (len(units) == 1 and words <= 7 and not _STOP.search(s)):  # else a heading
                     out.append(s)
     return out
@@ -114,13 +114,14 @@ class Lexicon(dict):
     def __init__(self, rarity: np.ndarray) -> None:
         super().__init__()
         self.rarity = rarity
-        self.columns = np.zeros((self.SIZE, 5), np.float32)  # length, syllables, rarity, connective, subordinate
+        self.columns = np.zeros((self.SIZE, 7), np.float32)  # length, long, syllables, rarity, rare, connective, subordinate
         self.languages = np.zeros((self.SIZE, len(_SETS)), np.int16)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         low = word.lower()
-        self.columns[at] = len(word), len(_VOWELS.findall(low)), self.rarity[_bucket(low)], low in CONNECTIVES, low in _SUBORDINATE
+        rare = self.rarity[_bucket(low)]
+        self.columns[at] = len(word), len(word) >= 9, len(_VOWELS.findall(low)), rare, rare > 9.0, low in CONNECTIVES, low in _SUBORDINATE
         self.languages[at] = [low in x for x in _SETS.values()]
         return at
 
@@ -137,7 +138,7 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
     if len(text) > 4 * lexicon.SIZE:  # a text that could fill the lexicon gets its own
         lexicon = Lexicon(lexicon.rarity)
         lexicon.SIZE = len(text)
-        lexicon.columns, lexicon.languages = np.zeros((len(text), 5), np.float32), np.zeros((len(text), len(_SETS)), np.int16)
+        lexicon.columns, lexicon.languages = np.zeros((len(text), 7), np.float32), np.zeros((len(text), len(_SETS)), np.int16)
     parts = [p for p in map(_WORD.findall, sentences(text)) if p]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     n = int(lengths.sum())
@@ -151,14 +152,16 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
     english = lengths[voted & (best == 0)].sum()
     if not english or english < 0.5 * lengths[voted].sum():
         return None
-    sizes, syllables, rare, linked, below = lexicon.columns[at].T
     windows = range(0, max(1, n - 49), 50)
     diversity = sum(len(set(ids[i : i + 50])) / len(ids[i : i + 50]) for i in windows) / len(windows)
-    linked, below, commas, k = float(linked.sum()), float(below.sum()), text.count(","), len(parts)
+    size, long, syllables, rare, rarest, linked, below = (lexicon.columns[at].sum(0, dtype=np.float64) / n).tolist()
+    k, commas = len(parts), text.count(",")
+    mean = n / k
+    spread_of = math.sqrt(max(0.0, float(lengths @ lengths) / k - mean * mean)) / mean
     return np.array([
-        sizes.mean(), (sizes >= 9).mean(), syllables.mean(), lengths.mean(), math.log(lengths.mean()), lengths.std() / lengths.mean(), diversity,
-        rare.mean(), (rare > 9.0).mean(), linked / n, below / k, commas / k, (below + linked) / k,
-    ], float)
+        size, long, syllables, mean, math.log(mean), spread_of, diversity,
+        rare, rarest, linked, below * mean, commas / k, (below + linked) * mean,
+    ])
 
 
 @dataclass
