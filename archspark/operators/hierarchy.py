@@ -189,7 +189,7 @@ def _paths(node: np.ndarray, parent_row: np.ndarray, depth: np.ndarray, ok: np.n
 
 
 def _kernel(with_paths: bool, only_lost: bool):
-    """mapInArrow function over partitions sorted by tree: cuts the stream at tree borders, ranks whole trees."""
+    """Ranks the trees of partitions sorted by tree."""
 
     def run(table: pa.Table) -> pa.RecordBatch:
         col = lambda name, null: pc.fill_null(table[name], null).combine_chunks().to_numpy(zero_copy_only=False)
@@ -216,6 +216,12 @@ def _kernel(with_paths: bool, only_lost: bool):
             columns["path"] = _paths(r["node"], r["parent_row"], r["depth"], r["state"] == _OK)
         return pa.record_batch(columns)
 
+    return by_tree(run)
+
+
+def by_tree(run):
+    """mapInArrow function over partitions sorted by ``file_id``: ``run`` gets tables that hold whole trees only."""
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
