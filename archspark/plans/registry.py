@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archspark.plans import graph_queries, hierarchy_queries
+from archspark.plans import code_queries, graph_queries, hierarchy_queries
 
-MODULES = (graph_queries, hierarchy_queries)
+MODULES = (graph_queries, code_queries, hierarchy_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_ATOMS = {"string": T.StringType, "int": T.IntegerType, "bigint": T.LongType, "tinyint": T.ByteType, "double": T.DoubleType, "float": T.FloatType, "boolean": T.BooleanType}
+
+
+def _type(name: str) -> T.DataType:
+    return T.ArrayType(_type(name[6:-1])) if name.startswith("array<") else _ATOMS[name]()
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema from ``name type, ...``, without a session, so workers can import this module too."""
+    return T.StructType([T.StructField(*(x if k == 0 else _type(x) for k, x in enumerate(part.split()))) for part in spec.split(", ")])
 
 
 FILES = _struct("path string, language string, node_count int")
