@@ -1 +1 @@
-
+"""Queries, adapters and end-to-end plans."""

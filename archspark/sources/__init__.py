@@ -1 +1 @@
-
+"""Readers and writers: syntax snapshots, source trees, extractors."""
