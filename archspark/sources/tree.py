@@ -70,7 +70,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_anywhere(spark: SparkSession, root: str) -> DataFrame:
-    """The same from any Hadoop file system: the built-in binary file scan, folders filtered by path."""
+    """The same from any Hadoop file system (which hides dot files): the binary file scan, folders filtered by path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     full = F.regexp_replace(F.col("path"), r"^\w+:/*", "/")
     relative = F.expr(f"substring(full, {len(os.path.abspath(root)) + 2})")
