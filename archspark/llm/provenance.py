@@ -5,7 +5,7 @@ alike; Re-Pair infers a grammar over them by replacing its most frequent pairs b
 
 * High rule reuse (few symbols left for the statements derived) flags machine-made text: accessors after a template,
   minified statements.  Comments at the head that name a generator do so too.
-* A file that is nearly all literals, whose own characters do not compress, is a data blob.
+* A file that is nearly all literals, whose own characters do not compress, and that holds no logic is a data blob.
 * Phrases of whole lines (stretches of the corpus' grammar) that stand in several repositories are counted over all
   files by one pre-aggregated shuffle; a file mostly derived from such shared rules is a third party's copy, wherever it
   lies.  A vendor folder or an upstream notice at the head flags the rest.
@@ -43,6 +43,7 @@ _SHORT = re.compile(r"\b[A-Za-z_]\w?\b")
 _LITERAL = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?<![\w.])-?(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)[fFuUlL]*(?![\w.])", re.S)
 _NAME = re.compile(r"[A-Za-z_]\w*")
 _PACKED = re.compile(r"[A-Za-z0-9+/=]{40,}|(?:0[xX][\da-fA-F]+|-?\d+(?:\.\d+)?),")
+_LOGIC = re.compile(r"\b(?:def|return|if|for|while|switch|lambda)\b|\)\s*(?:const\s*)?\{")
 _COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|#[^\n]*", re.S)
 _HEAD = re.compile(r"(?:\s*(?://[^\n]*|/\*.*?\*/|#(?!\s*(?:include|pragma|define|if|ifdef|ifndef)\b)[^\n]*|\"\"\".*?\"\"\"|'''.*?'''|#pragma once))*", re.S)
 #: Notices of generators, of upstreams, and folders of third parties.
@@ -121,6 +122,7 @@ def features(path: str, text: str) -> dict[str, float]:
         "words": 1000 * len(words) / n if n else 0.0,
         "packed": len(values) / n if n else 0.0,
         "packed_ratio": len(zlib.compress(values.encode(), 1)) / len(values) if values else 0.0,
+        "logic": float(bool(_LOGIC.search(bare))),
         "line": n / (text.count("\n") + 1),
         "name": sum(map(len, words)) / len(words) if words else 0.0,
         "generated_notice": float(bool(_GENERATED_NOTICE.search(head))),
@@ -135,7 +137,7 @@ def cause(path: str, text: str) -> str | None:
     f = features(path, text)
     if f["line"] > 150 and f["name"] < 2.2:
         return "minified"
-    if f["words"] < 3 and f["packed"] > 0.4 and f["packed_ratio"] > 0.3:
+    if f["words"] < 3 and not f["logic"] and f["packed"] > 0.4 and f["packed_ratio"] > 0.3:
         return "blob"
     if f["generated_notice"] or f["reuse"] >= REUSE and f["statements"] >= STATEMENTS:
         return "generated"
