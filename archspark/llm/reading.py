@@ -41,6 +41,8 @@ _CODE = re.compile(r"[;{}]\s*$|^\s*(?:def |class \w+[:(]|@\w+|#include|#pragma|i
 _ASIDE = re.compile(r"\((?:see|cf\.|approx\.|e\.g\.|i\.e\.)[^()]*(?:\([^()]*\)[^()]*)*\)|\[#?\d+\]|`[^`\n]*`|https?://\S+|[\w./\\-]*/[\w./\\-]+|\b\w+_\w+\b(?:\(\))?|\bv?\d[\d.,]*(?: ?ms| ?%| ?KB| ?MB)?\b")
 _CODE_SIGNS = re.compile(r"[;{}=&|#@:(/]|^\s*(?:import|return|from|class|def|auto|const|namespace)\b")
 _ASIDE_SIGNS = re.compile(r"[\d_`/]|\((?:see|cf|approx|e\.g|i\.e)")
+_CODE_START = re.compile(r"[ \t]*(?:(?:async )?def \w+ ?\(|class \w+ ?[(:{]|#include|#pragma|/\*|//|template ?<|namespace \w+ ?\{)")
+_INDENTS = frozenset(("  ", "\t\t", "\t ", " \t"))
 _BREAK = re.compile(r"(?i)</?(?:p|li|div|br|h\d|ul|ol|tr)\b[^<>]*>")
 _BLANK = re.compile(r"\n[ \t]*\n")
 _STOP = re.compile(r"[.!?]['\")\]]*\s*$")
@@ -67,14 +69,19 @@ def sentences(text: str) -> list[str]:
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
     out: list[str] = []
+    after_code = False
     for block in _BLANK.split(text):
         lines = [x for x in block.split("\n") if x.strip()]
         kept = [x for x in lines if not _NO_PROSE.match(x)]
         if not kept:
             continue
         bodies = [_ITEM.sub("", x, count=1) if _ITEM.match(x) else x for x in kept]
+        if _CODE_START.match(lines[0]) or after_code and all(x[:2] in _INDENTS for x in lines):  # a body or docstring goes on
+            after_code = True
+            continue
         codey = sum(bool(_CODE_SIGNS.search(b) and _CODE.search(b) and _CODE.search(_ASIDE.sub(" ", b))) for b in bodies)
-        if codey > 0.4 * len(bodies):
+        after_code = codey > 0.4 * len(bodies)
+        if after_code:
             continue
         units: list[str] = []
         for raw, body in zip(kept, bodies):
@@ -182,7 +189,7 @@ class Model:
         return int(self.grades[int(np.argmax(np.diff(below)))])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rarity: np.ndarray, strength: float = 0.02) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, rarity: np.ndarray, strength: float = 0.002) -> Model:
     """Ordinal regression by gradient steps (Adam) on the penalised likelihood; cuts stay ordered by their gaps' logs."""
     grades = np.unique(y)
     k = np.searchsorted(grades, y)
