@@ -168,7 +168,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, id_column: str = "doc_id",
     asked = items.select(F.col(item_column).cast("bigint").alias("item"), F.col(item_text_column).cast("string").alias("text")).where("item is not null and text is not null").distinct()
     blocks = max(1, -(-asked.count() // ITEM_BLOCK))
     if blocks > 1:
-        asked = asked.repartitionByRange(blocks, "item").withColumn("block", F.spark_partition_id())
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     rows = spread(documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("text is not null"))
     parts = []
     for b in range(blocks):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archspark.llm.pairs import FUNCTION_WORDS
-from archspark.llm.text import spread
+from archspark.llm.text import least_by_hash, spread
 
 MIN_WORDS = 60
 #: Graded documents the regression is fitted to at most (those of least hash).
@@ -248,7 +248,8 @@ def rarity_of(df: DataFrame, text_column: str = "text") -> np.ndarray:
 
 def train(documents: DataFrame, labels: DataFrame, rarity: np.ndarray, limit: int = TRAIN_GRADES) -> Model | None:
     """Model fitted to the graded documents."""
-    graded = labels.where("grade between 1 and 5 and doc_id is not null").groupBy("doc_id").agg(F.avg("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    graded = labels.where("grade between 1 and 5 and doc_id is not null").groupBy("doc_id").agg(F.avg("grade").alias("grade"))
+    graded = least_by_hash(graded, "doc_id", limit)
     texts = documents.where("text is not null").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -13,3 +14,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def least_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About the ``rows`` rows of least hash of ``key`` (never more, each key once): the same however the table lies.
+
+    A threshold on the hash leaves hardly more rows than asked before anything is sorted or sent, so the cost of the
+    sample does not grow with the number of partitions.
+    """
+    total = df.count()
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key)))
+    if total > rows:
+        share = min(1.0, 1.5 * rows / total + 1e-3)
+        hashed = hashed.where(F.col("_h") <= int(-(1 << 63) + share * ((1 << 64) - 1)))
+    return hashed.dropDuplicates(["_h"]).orderBy("_h").limit(rows).drop("_h")
