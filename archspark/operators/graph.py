@@ -39,15 +39,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
     pairs = edges.select("source", "target").distinct()
     loops = pairs.where("source = target").select(F.col("source").alias("path"), F.col("source").alias("component"))
     work = durable(pairs.where("source <> target"))
+    before = work.count()
     found: list[DataFrame] = []
     while True:
         while True:  # trim
             kept = work.join(work.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
             kept = durable(kept.join(kept.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-            before, after = work.count(), kept.count()
+            after = kept.count()
             drop_durable(work)
-            work = kept
-            if after in (0, before):
+            work, done, before = kept, after in (0, before), after
+            if done:
                 break
         if not after:
             break
@@ -73,7 +74,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found.append(reached.select("path", F.col("colour").alias("component")))
         rest = durable(work.join(reached.select(F.col("path").alias("source")), "source", "left_anti").join(reached.select(F.col("path").alias("target")), "target", "left_anti").select("source", "target"))
         drop_durable(work, inner)
-        work = rest
+        work, before = rest, -1
     members = None
     for part in found:
         part = part.join(part.groupBy("component").count().where("count > 1").select("component"), "component").select("path", "component")
@@ -83,9 +84,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return members.unionByName(loops.join(members.select("path"), "path", "left_anti"))
 
 
+#: Largest component whose members are listed in one row; of larger ones :func:`strong_components` gives the membership.
+LISTED_MEMBERS = 100_000
+
+
 def cycles(edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """``component, size, members`` of each cycle, largest first, then by least member."""
-    ranked = strong_components(edges).groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("path")).alias("members")).orderBy(F.desc("size"), "component")
+    """``component, size, members`` of each cycle, largest first, then by least member (members null beyond the bound)."""
+    found = durable(strong_components(edges))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    listed = found.join(sizes.where(F.col("size") <= LISTED_MEMBERS), "component").groupBy("component").agg(F.array_sort(F.collect_list("path")).alias("members"))
+    ranked = sizes.join(listed, "component", "left").orderBy(F.desc("size"), "component")
     return ranked if limit is None else ranked.limit(limit)
 
 
@@ -117,17 +125,30 @@ def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def summary(vertices: DataFrame, edges: DataFrame, with_cycles: bool = True) -> DataFrame:
-    """One row: numbers of vertices, edges, edges by kind, isolated vertices and density; cycles and layers if asked."""
-    v = vertices.agg(F.count("*").alias("nodes"))
-    e = edges.agg(F.count("*").alias("edges"), F.count_if(F.array_contains("kinds", "import")).alias("import_edges"), F.count_if(F.array_contains("kinds", "inheritance")).alias("inheritance_edges"))
-    alone = degrees(vertices, edges).agg(F.count_if((F.col("ca") == 0) & (F.col("ce") == 0)).alias("isolated"))
-    n = F.col("nodes")
-    row = v.crossJoin(e).crossJoin(alone).withColumn("density", F.when(n <= 1, 0.0).otherwise(F.col("edges") / (n * (n - 1))))  # each side is one row
+    """One row: numbers of vertices, edges, edges by kind, isolated vertices and density; cycles and layers if asked.
+
+    Each number is an aggregate of its own, and the rows of aggregates are put side by side by one more.
+    """
+    number = lambda df, value, name: df.agg(value.cast("bigint").alias("v")).withColumn("name", F.lit(name))
+    ends = degrees(vertices, edges)
+    parts = [
+        number(vertices, F.count("*"), "nodes"),
+        number(edges, F.count("*"), "edges"),
+        number(edges, F.count_if(F.array_contains("kinds", "import")), "import_edges"),
+        number(edges, F.count_if(F.array_contains("kinds", "inheritance")), "inheritance_edges"),
+        number(ends, F.count_if((F.col("ca") == 0) & (F.col("ce") == 0)), "isolated"),
+    ]
+    names = ["nodes", "edges", "import_edges", "inheritance_edges", "isolated"]
     if with_cycles:
-        c = strong_components(edges).groupBy("component").count().agg(F.count("*").alias("cycles"), F.coalesce(F.max("count"), F.lit(0)).alias("largest_cycle"))
-        depth = layers(vertices, edges).agg(F.coalesce(F.max("layer") + 1, F.lit(0)).alias("layers"))
-        row = row.crossJoin(c).crossJoin(depth)
-    return row
+        sizes = durable(strong_components(edges).groupBy("component").count())
+        parts += [number(sizes, F.count("*"), "cycles"), number(sizes, F.coalesce(F.max("count"), F.lit(0)), "largest_cycle"), number(layers(vertices, edges), F.coalesce(F.max("layer") + 1, F.lit(0)), "layers")]
+        names += ["cycles", "largest_cycle", "layers"]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    one = rows.agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in names])
+    n = F.col("nodes")
+    return one.withColumn("density", F.when(n <= 1, 0.0).otherwise(F.col("edges") / (n * (n - 1))))
 
 
 def reach(edges: DataFrame, start: str, depth: int, reverse: bool) -> DataFrame:

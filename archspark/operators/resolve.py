@@ -8,10 +8,10 @@ with the importing file, then least ordinal, then least path), none is ``externa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archspark.functions.names import directory, is_python, normalise, shared_prefix, suffixes
+from archspark.functions.names import directory, is_python, normalise, suffixes
 
 
 def known_files(files: DataFrame) -> DataFrame:
@@ -25,6 +25,27 @@ def suffix_index(files: DataFrame) -> DataFrame:
     return known_files(files).select(F.explode(suffixes(F.col("path"))).alias("suffix"), "path", "ordinal")
 
 
+def _prefixes(path: Column) -> Column:
+    """``struct<shared, prefix>`` for each number of leading components, 0 to all."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("shared"), F.array_join(F.slice(parts, 1, k), "/").alias("prefix")))
+
+
+def prefix_index(files: DataFrame, top: int = 1) -> DataFrame:
+    """``suffix, shared, prefix, n, best``: how many files have a suffix below a prefix, and the ``top`` first of them.
+
+    A file shares at least k leading components with another exactly if it lies below the other's first k, so the best
+    candidate of an import is found by looking up its own prefixes; no import ever meets all files of a common name.
+    """
+    spread = suffix_index(files).select("suffix", "ordinal", "path", F.explode(_prefixes(F.col("path"))).alias("x")).select("suffix", "x.*", "ordinal", "path")
+    counted = spread.groupBy("suffix", "shared", "prefix").agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "path")).alias("first"))
+    if top == 1:
+        return counted.select("suffix", "shared", "prefix", "n", F.array("first").alias("best"))
+    order = Window.partitionBy("suffix", "shared", "prefix").orderBy("ordinal", "path")
+    heads = spread.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).groupBy("suffix", "shared", "prefix").agg(F.array_sort(F.collect_list(F.struct("ordinal", "path"))).alias("best"))
+    return counted.drop("first").join(heads, ["suffix", "shared", "prefix"])
+
+
 def _targets(imports: DataFrame) -> DataFrame:
     """First and second exact candidate and the suffix to look for."""
     raw = F.trim(normalise(F.col("raw")))
@@ -52,27 +73,31 @@ def resolve(files: DataFrame, imports: DataFrame) -> DataFrame:
     wanted = _targets(imports)
     exact = wanted.join(known.withColumnRenamed("path", "first").withColumn("hit1", F.lit(True)), "first", "left").join(known.withColumnRenamed("path", "second").withColumn("hit2", F.lit(True)), "second", "left")
     exact = exact.withColumn("hit", F.when(F.col("hit1"), F.col("first")).when(F.col("hit2"), F.col("second")))
-    by_suffix = exact.where("hit is null and suffix is not null").select("import_id", "from_file", "suffix").join(suffix_index(files), "suffix")
-    # several candidates: the best by a struct minimum, which is combined before the shuffle
-    best = F.min(F.struct((-shared_prefix(F.col("path"), normalise(F.col("from_file")))).alias("s"), "ordinal", "path"))
-    matched = by_suffix.groupBy("import_id").agg(best.alias("b"), F.count("*").alias("n"))
+    asked = exact.where("hit is null and suffix is not null").select("import_id", "suffix", F.explode(_prefixes(normalise(F.col("from_file")))).alias("x")).select("import_id", "suffix", "x.*")
+    near = asked.join(prefix_index(files), ["suffix", "shared", "prefix"])
+    matched = near.groupBy("import_id").agg(F.max_by("best", "shared").alias("b"), F.max("n").alias("n"))
     out = exact.join(matched, "import_id", "left")
     resolution = F.when(F.col("hit").isNotNull() | (F.col("n") == 1), "resolved").when(F.col("n") > 1, "ambiguous").otherwise("external")
     return out.select(
         "import_id", "from_file", "raw",
-        F.coalesce("hit", "b.path", "raw").alias("target"),
+        F.coalesce("hit", F.col("b")[0]["path"], "raw").alias("target"),
         resolution.alias("resolution"),
         F.when(F.col("hit").isNotNull(), 1).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("candidates"),
     )
 
 
-def ambiguity(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """All candidates of ambiguous imports in order of preference."""
+def ambiguity(files: DataFrame, imports: DataFrame, top: int = 3) -> DataFrame:
+    """The ``top`` preferred candidates of each ambiguous import: most shared components, then ordinal, then path.
+
+    The first ``top`` below each prefix suffice: what they leave out is preceded by ``top`` others.
+    """
     resolved = resolve(files, imports).where("resolution = 'ambiguous'").select("import_id", "from_file")
     wanted = _targets(imports).select("import_id", "suffix").join(resolved, "import_id")
-    pairs = wanted.join(suffix_index(files), "suffix").withColumn("shared", shared_prefix(F.col("path"), normalise(F.col("from_file"))))
+    asked = wanted.select("import_id", "suffix", F.explode(_prefixes(normalise(F.col("from_file")))).alias("x")).select("import_id", "suffix", "x.*")
+    pairs = asked.join(prefix_index(files, top), ["suffix", "shared", "prefix"]).select("import_id", "shared", F.explode("best").alias("c"))
+    once = pairs.groupBy("import_id", "c.path", "c.ordinal").agg(F.max("shared").alias("shared"))
     order = Window.partitionBy("import_id").orderBy(F.desc("shared"), "ordinal", "path")
-    return pairs.select("import_id", "path", "shared", F.row_number().over(order).alias("preference"))
+    return once.withColumn("preference", F.row_number().over(order)).where(F.col("preference") <= top).select("import_id", "path", "shared", "preference")
 
 
 def statistics(resolved: DataFrame) -> DataFrame:

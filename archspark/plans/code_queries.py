@@ -21,7 +21,7 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.ambiguity(*import_corpus(spark, sf_dir)).where("preference <= 3").select("import_id", "path", F.col("preference").cast("bigint").alias("preference"))
+    return resolve.ambiguity(*import_corpus(spark, sf_dir), top=3).select("import_id", "path", F.col("preference").cast("bigint").alias("preference"))
 
 
 def resolution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

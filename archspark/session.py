@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -36,14 +37,32 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
+    _made[path] = spark
     return out
 
 
+_made: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _drop_all() -> None:
+    """Leave nothing in the shared folder when the driver ends in order."""
+    for path, spark in list(_made.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone; the folder is the cluster's to clear
+            return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.pop(path, None)
+
+
 def drop_durable(*tables: DataFrame) -> None:
     """Delete tables written by :func:`durable` that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_durable_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
