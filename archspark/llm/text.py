@@ -22,9 +22,9 @@ def least_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     A threshold on the hash leaves hardly more rows than asked before anything is sorted or sent, so the cost of the
     sample does not grow with the number of partitions.
     """
-    total = df.count()
     hashed = df.withColumn("_h", F.xxhash64(F.col(key)))
-    if total > rows:
-        share = min(1.0, 1.5 * rows / total + 1e-3)
-        hashed = hashed.where(F.col("_h") <= int(-(1 << 63) + share * ((1 << 64) - 1)))
+    different = hashed.agg(F.approx_count_distinct("_h", 0.02)).first()[0]
+    share = 1.5 * rows / max(different, 1) + 1e-3
+    if share < 1.0:
+        hashed = hashed.where(F.col("_h") <= int(share * (1 << 64)) - (1 << 63))
     return hashed.dropDuplicates(["_h"]).orderBy("_h").limit(rows).drop("_h")

@@ -108,3 +108,16 @@ def test_grades(spark):
 def test_registered(spark):
     names = set(queries.QUERIES)
     assert {f"p{n}_found" for n in (1, 2, 3, 5, 6, 7, 9, 10)} | {"p8_ids"} <= names and set(queries.SQL) <= names
+
+
+def test_sample_is_bounded_and_stable(spark):
+    from archspark.llm.text import least_by_hash
+
+    df = spark.range(20_000).withColumn("x", F.lit(1))
+    everything = {r.id for r in least_by_hash(df, "id", 20_000).collect()}
+    assert len(everything) == 20_000
+    for rows in (0, 1, 100, 13_000, 13_400, 19_999):
+        a = {r.id for r in least_by_hash(df, "id", rows).collect()}
+        b = {r.id for r in least_by_hash(df.repartition(7).unionByName(df), "id", rows).collect()}
+        assert len(a) == rows and a == b if rows else a == b == set()
+    assert least_by_hash(df.limit(0), "id", 5).count() == 0
