@@ -92,7 +92,7 @@ def blast_radius_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blast_radius_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _radius(spark, sf_dir)[0].select("direction", "path", "distance", "rank", "total")
+    return _radius(spark, sf_dir)[0].select("direction", "path", "distance", F.col("rank").cast("bigint").alias("rank"), "total")
 
 
 def blast_radius_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ SQL = {
     + """SELECT (SELECT count(*) FROM vertex) AS nodes, (SELECT count(*) FROM edge) AS edges, (SELECT count(*) FROM edge) AS import_edges, 0::BIGINT AS inheritance_edges, 0::BIGINT AS isolated,
   (SELECT count(*) FROM edge) / ((SELECT count(*) FROM vertex) * ((SELECT count(*) FROM vertex) - 1)) AS density,
   (SELECT count(DISTINCT component) FROM comp) AS cycles, (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM comp GROUP BY component)) AS largest_cycle,
-  (SELECT max(layer) + 1 FROM high) AS layers""",
+  (SELECT max(layer) + 1 FROM high)::BIGINT AS layers""",
     "scc_components": _CLOSURE + "SELECT path, component FROM comp",
     "cycles_ranked": _CLOSURE + "SELECT component, count(*) AS size, string_agg(path, ',' ORDER BY path) AS members FROM comp GROUP BY 1",
     "topological_layers": f"WITH RECURSIVE {DEPENDENCY_SQL.strip()}, up AS (SELECT path, 0 AS layer FROM vertex UNION SELECT e.source, u.layer + 1 FROM up u JOIN edge e ON e.target = u.path) SELECT path, max(layer) AS layer FROM up GROUP BY 1",
