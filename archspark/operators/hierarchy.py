@@ -270,14 +270,13 @@ def _large(nodes: DataFrame, with_paths: bool, bound: int) -> DataFrame:
         hop = hop.drop("path")
     for _ in range(rounds):
         right = hop.select("file_id", F.col("node_id").alias("j"), F.col("j").alias("j2"), F.col("d").alias("d2"), F.col("done").alias("done2"), *([F.col("path").alias("path2")] if with_paths else []))
-        step = hop.join(right, ["file_id", "j"])
-        columns = ["file_id", "node_id", F.when(F.col("done"), F.col("j")).otherwise(F.col("j2")).alias("j"), F.when(F.col("done"), F.col("d")).otherwise(F.col("d") + F.col("d2")).alias("d")]
+        step = hop.where(~F.col("done")).join(right, ["file_id", "j"])  # what has arrived is not joined again
+        columns = ["file_id", "node_id", F.col("j2").alias("j"), (F.col("d") + F.col("d2")).alias("d")]
         if with_paths:
             # both halves hold the node where they meet: the second begins after it
-            tail = F.expr("substring(path, length(cast(j as string)) + 1)")
-            columns.append(F.when(F.col("done"), F.col("path")).otherwise(F.concat("path2", tail)).alias("path"))
-        columns.append((F.col("done") | F.col("done2")).alias("done"))
-        before, hop = hop, durable(step.select(*columns))
+            columns.append(F.concat("path2", F.expr("substring(path, length(cast(j as string)) + 1)")).alias("path"))
+        columns.append(F.col("done2").alias("done"))
+        before, hop = hop, durable(hop.where("done").unionByName(step.select(*columns)))
         drop_durable(before)
         if hop.where(~F.col("done")).isEmpty():
             break
@@ -295,12 +294,14 @@ def _large(nodes: DataFrame, with_paths: bool, bound: int) -> DataFrame:
     arcs = nexts.join(firsts, ["file_id", "node_id"], "left").withColumn("node_id", F.col("node_id").cast("bigint"))
     down = F.struct((2 * F.col("node_id")).alias("arc"), F.coalesce(2 * F.col("child"), 2 * F.col("node_id") + 1).alias("j"))
     up = F.struct((2 * F.col("node_id") + 1).alias("arc"), F.coalesce(2 * F.col("sibling"), 2 * F.col("up") + 1, 2 * F.col("node_id") + 1).alias("j"))
-    tour = durable(arcs.select("file_id", F.explode(F.array(down, up)).alias("a")).select("file_id", "a.arc", "a.j", F.when(F.col("a.arc") == F.col("a.j"), 0).otherwise(1).cast("bigint").alias("s")))
+    last = F.col("a.arc") == F.col("a.j")
+    tour = durable(arcs.select("file_id", F.explode(F.array(down, up)).alias("a")).select("file_id", "a.arc", "a.j", F.when(last, 0).otherwise(1).cast("bigint").alias("s"), last.alias("done")))
     for _ in range(rounds + 1):
         right = tour.select("file_id", F.col("arc").alias("j"), F.col("j").alias("j2"), F.col("s").alias("s2"))
-        before, tour = tour, durable(tour.join(right, ["file_id", "j"]).select("file_id", "arc", F.col("j2").alias("j"), (F.col("s") + F.col("s2")).alias("s"), (F.col("s2") > 0).alias("moved")))
+        moved = tour.where(~F.col("done")).join(right, ["file_id", "j"]).select("file_id", "arc", F.col("j2").alias("j"), (F.col("s") + F.col("s2")).alias("s"), (F.col("s2") == 0).alias("done"))
+        before, tour = tour, durable(tour.where("done").unionByName(moved))
         drop_durable(before)
-        if tour.where("moved").isEmpty():
+        if tour.where(~F.col("done")).isEmpty():
             break
     ranked = tour.groupBy("file_id", F.floor(F.col("arc") / 2).cast("int").alias("node_id")).agg(F.max(F.when(F.col("arc") % 2 == 0, F.col("s"))).alias("s_in"), F.max(F.when(F.col("arc") % 2 == 1, F.col("s"))).alias("s_out"), F.max((F.floor(F.col("j") / 2)).cast("int")).alias("tour_root"))
     length = ranked.where("node_id = tour_root").select("file_id", "tour_root", F.col("s_in").alias("last"))
