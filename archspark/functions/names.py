@@ -76,3 +76,8 @@ def last_of_call(name: Column) -> Column:
 def instability(ca: Column, ce: Column) -> Column:
     """Ce / (Ca + Ce), 0 without any coupling."""
     return F.when(ca + ce == 0, F.lit(0.0)).otherwise(ce / (ca + ce))
+
+
+def strip_current(path: Column) -> Column:
+    """Without leading ``./``, as editors compare paths."""
+    return F.regexp_replace(path, r"^(?:\./)+", "")

@@ -97,31 +97,42 @@ def cycles(edges: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked if limit is None else ranked.limit(limit)
 
 
-def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``path, layer``: 0 depends on nothing, k on something of layer k - 1; members of a cycle share a layer.
-
-    Peels the condensation from its foundations: each round removes what depends on nothing that is left, and only
-    edges of the remaining part are read again.
-    """
-    names = durable(strong_components(edges).select("path", "component"))
-    named = durable(vertices.select("path").distinct().join(names, "path", "left").select("path", F.coalesce("component", "path").alias("name")))
-    short = edges.select("source", "target").distinct()
-    short = short.join(named.select(F.col("path").alias("source"), F.col("name").alias("a")), "source").join(named.select(F.col("path").alias("target"), F.col("name").alias("b")), "target")
-    work = durable(short.where("a <> b").select("a", "b").distinct())
-    left = durable(named.select(F.col("name").alias("a")).distinct())
+def _peel(names: DataFrame, links: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(layers ``a, layer`` of all names, None), or (None, links left) where they hang on a cycle."""
+    work = durable(links)
+    left = durable(names)
     done: DataFrame | None = None
     level = 0
     while not left.isEmpty():
         blocked = work.select("a").distinct()
         free = durable(left.join(blocked, "a", "left_anti").withColumn("layer", F.lit(level)))
+        if free.isEmpty():
+            return None, work
         done = free if done is None else done.unionByName(free)
-        rest = durable(left.join(blocked, "a", "left_semi"))
+        rest = durable(left.join(free.select("a"), "a", "left_anti"))
         shrunk = durable(work.join(free.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
         drop_durable(left, work)
         left, work, level = rest, shrunk, level + 1
-    if done is None:
-        return vertices.select("path", F.lit(0).alias("layer")).limit(0)
-    return named.join(done.withColumnRenamed("a", "name"), "name").select("path", "layer")
+    return (names.select("a", F.lit(0).alias("layer")).limit(0) if done is None else done), None
+
+
+def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``path, layer``: 0 depends on nothing, k on something of layer k - 1; members of a cycle share a layer.
+
+    Each round peels what depends on nothing that is left and keeps the remaining edges only.  Where that comes to
+    nothing the rest holds cycles: their components are found in that rest alone, and the condensed graph is peeled.
+    """
+    names = vertices.select(F.col("path").alias("a")).distinct()
+    links = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct()
+    done, rest = _peel(names, links)
+    if rest is None:
+        return done.select(F.col("a").alias("path"), "layer")
+    members = durable(strong_components(rest.select(F.col("a").alias("source"), F.col("b").alias("target"))))
+    name = lambda column: members.select(F.col("path").alias(column), F.col("component").alias(f"{column}_name"))
+    named = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_name", "a").alias("a"), F.coalesce("b_name", "b").alias("b"))
+    whole = names.join(name("a"), "a", "left").select(F.col("a").alias("path"), F.coalesce("a_name", "a").alias("a"))
+    done, _ = _peel(whole.select("a").distinct(), named.where("a <> b").distinct())
+    return whole.join(done, "a").select("path", "layer")
 
 
 def summary(vertices: DataFrame, edges: DataFrame, with_cycles: bool = True) -> DataFrame:
@@ -186,6 +197,12 @@ def blast_radius(vertices: DataFrame, edges: DataFrame, target: str, depth: int
     return ranked.join(totals, "direction")
 
 
+def impact_count(radius: DataFrame) -> DataFrame:
+    """One row: vertices within the radius before any cut, and whether it was cut."""
+    per = radius.groupBy("direction").agg(F.max("total").alias("total"), F.count("*").alias("kept"))
+    return per.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("reachable"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"), F.coalesce(F.max(F.col("total") > F.col("kept")), F.lit(False)).alias("truncated"))
+
+
 def all_paths(radius: DataFrame, target: str) -> DataFrame:
     """``path, rank``: the target, its dependents, its dependencies; each path once, where it stands first."""
     place = F.when(F.col("direction") == "dependents", F.col("rank")).otherwise(1_000_000 + F.col("rank"))

@@ -61,6 +61,11 @@ class HashEmbedder:
         return out
 
 
+def default_embedder(dimensions: int = 384) -> Embedder:
+    """The embedder that needs no model files; a semantic one is passed in by the user."""
+    return HashEmbedder(dimensions)
+
+
 def embed(df: DataFrame, embedder: Embedder, text_column: str = "embedding_text") -> DataFrame:
     """``vector array<float>`` of each row; the embedder is made once per worker and fed Arrow batches."""
 

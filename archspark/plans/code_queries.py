@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.operators import audit, chunk, cohesion, context, edges, policy, resolve, vectors
+from archspark.operators import arena, audit, chunk, cohesion, context, edges, policy, resolve, vectors
 from archspark.plans.adapters import IMPORT_SQL, business_graph, files, import_corpus, nodes
 from archspark.session import table
 
@@ -54,6 +54,14 @@ def file_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.vertices(files(spark, sf_dir), nodes(spark, sf_dir))
 
 
+def arena_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arena.violations(table(spark, sf_dir, "ast_nodes"))
+
+
+def arena_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arena.walk(table(spark, sf_dir, "ast_nodes")).select("file_id", "root_id", "node_id", "depth")
+
+
 # --------------------------------------------------------------------------- cohesion
 
 
@@ -202,7 +210,7 @@ def audit_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        suffix_index, import_resolution, import_ambiguity, resolution_stats, unresolved_targets, relative_import_resolution, inheritance_edges, kind_counts, file_vertices,
+        suffix_index, import_resolution, import_ambiguity, resolution_stats, unresolved_targets, relative_import_resolution, inheritance_edges, kind_counts, file_vertices, arena_violations, arena_walk,
         class_cohesion, lcom4_components, cohesion_ranked, violations_cohesion, enclosing_classes, chunk_declarations, chunk_unreadable, document_chunk_ids,
         vector_topk, vector_topk_scoped, vector_topk_min_score, vector_scope_empty, vector_latest_points, vector_upsert, vector_delete_paths, vector_payload_metrics, hash_embed_documents,
         context_greedy_budget, audit_recent, audit_for_target, audit_failures, audit_count, audit_get,
@@ -295,6 +303,15 @@ SELECT c.path AS source, d.path AS target, trim(c.base) AS raw_target FROM class
     "kind_counts": f"WITH {_NODE} SELECT path, " + ", ".join(f"count(*) FILTER (WHERE kind = {k}) AS {name}" for k, name in enumerate(("file", "class", "function", "import", "call", "variable", "other", "fieldaccess"))) + " FROM node GROUP BY path",
     "file_vertices": f"""WITH {_NODE} SELECT f.path, coalesce(count(n.node_id), 0)::INTEGER AS node_count, count(*) FILTER (WHERE n.kind = 1)::INTEGER AS class_count, count(*) FILTER (WHERE n.kind = 2)::INTEGER AS function_count,
   count(*) FILTER (WHERE n.kind = 3)::INTEGER AS import_count FROM (SELECT DISTINCT path FROM files) f LEFT JOIN node n ON n.path = f.path GROUP BY f.path""",
+    "arena_violations": f"""WITH {_NODE}
+SELECT file_id, node_id, 'root' AS rule FROM node WHERE (p = -1) <> (node_id = 0)
+UNION ALL SELECT n.file_id, n.node_id, 'parent' FROM node n LEFT JOIN node u ON u.file_id = n.file_id AND u.node_id = n.p WHERE n.p IS NULL OR n.p >= 0 AND (u.node_id IS NULL OR n.p >= n.node_id)
+UNION ALL SELECT file_id, node_id, 'bounds' FROM node WHERE b < 0 OR e < b
+UNION ALL SELECT n.file_id, n.node_id, 'nesting' FROM node n JOIN node u ON u.file_id = n.file_id AND u.node_id = n.p WHERE n.b < u.b OR n.e > u.e
+UNION ALL SELECT DISTINCT n.file_id, n.node_id, 'children' FROM node n JOIN node k ON k.file_id = n.file_id AND n.c > 0 AND k.node_id >= n.f AND k.node_id < n.f + n.c WHERE k.p IS NULL OR k.p <> n.node_id""",
+    "arena_walk": f"""WITH RECURSIVE {_NODE},
+down AS (SELECT file_id, node_id AS root_id, node_id, 0 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT t.file_id, d.root_id, t.node_id, d.depth + 1 FROM tree t JOIN down d ON d.file_id = t.file_id AND d.node_id = t.parent)
+SELECT file_id, root_id, node_id, depth FROM down""",
     "class_cohesion": f"WITH RECURSIVE {_LCOM} SELECT file_id, class_id, class_name, method_count, field_count, lcom1, lcom4, lcom4 <= 1 AS is_cohesive, greatest(lcom4, 1) AS suggested_split FROM lcom",
     "lcom4_components": f"""WITH RECURSIVE {_LCOM},
 grp AS (SELECT p.file_id, p.class_id, p.part, list_sort(list(m.name)) AS g FROM part p JOIN method m ON m.file_id = p.file_id AND m.method_id = p.method_id GROUP BY 1, 2, 3)

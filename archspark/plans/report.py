@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archspark.operators import cohesion, edges, graph, metrics, policy, resolve
@@ -83,6 +83,11 @@ def write_tables(report: Report, folder: str) -> None:
         getattr(report, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """An exported report as one row."""
+    return spark.read.json(path, multiLine=True)
+
+
 def pull_request_comment(report: dict, errors: int = 15, warnings: int = 20) -> str:
     """Markdown of a report that was read from its JSON."""
     found = report["violations"]

@@ -251,3 +251,15 @@ def test_walk_and_cli(spark, tmp_path, capsys):
 
     text = pull_request_comment(json.loads((tmp_path / "m.json").read_text()))
     assert "Failed" in text and "cycle" in text
+
+
+def test_arena(spark):
+    from archspark.operators import arena
+
+    schema = "file_id bigint, node_id int, parent_index int, first_child_index bigint, child_count bigint, byte_start bigint, byte_end bigint"
+    good = [(1, 0, -1, 1, 2, 0, 90), (1, 1, 0, 0, 0, 0, 10), (1, 2, 0, 3, 1, 10, 90), (1, 3, 2, 0, 0, 20, 30)]
+    bad = [(2, 0, -1, 1, 1, 0, 50), (2, 1, None, 0, 0, 5, 4), (2, 2, 9, 0, 0, 0, 1), (2, 3, 0, 0, 0, 0, 60), (2, 4, -1, 10**12, 5, 0, 1)]
+    df = spark.createDataFrame(good + bad + good[:1], schema)
+    assert {(r.node_id, r.child_id) for r in arena.children(df.where("file_id = 1")).collect()} == {(0, 1), (0, 2), (2, 3)}
+    assert [(r.node_id, r.depth) for r in arena.walk(df.where("file_id = 1")).orderBy("position").collect()] == [(0, 0), (1, 1), (2, 1), (3, 2)]
+    assert {(r.file_id, r.node_id, r.rule) for r in arena.violations(df).collect()} == {(2, 1, "parent"), (2, 1, "bounds"), (2, 0, "children"), (2, 2, "parent"), (2, 3, "nesting"), (2, 4, "root")}

@@ -80,3 +80,9 @@ def test_names(spark):
     df = spark.createDataFrame([("Own : a::Base , pkg.Other,", "a/b/c.py", "a/b/d.py")], "n string, p string, q string")
     r = df.select(own_name(F.col("n")), base_types(F.col("n")), suffixes(F.col("p")), shared_prefix(F.col("p"), F.col("q")), last_of_type(F.lit("x::y.Z")), last_of_call(F.lit("self.a.run"))).first()
     assert tuple(r) == ("Own", ["a::Base", "pkg.Other"], ["a/b/c.py", "b/c.py", "c.py"], 2, "Z", "run")
+
+
+def test_impact_count(spark):
+    many = table(spark, *[(f"d{k:03}", "hub") for k in range(30)])
+    r = graph.impact_count(graph.blast_radius(*many, "hub", max_dependents=10)).first()
+    assert (r.reachable, r.kept, r.truncated) == (30, 10, True)
