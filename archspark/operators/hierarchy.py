@@ -11,7 +11,9 @@ Two ways with the same result share that algorithm:
 * trees of at most ``max_tree_rows`` rows are hashed by tree key and ranked many at a time by vectorised kernels over
   Arrow batches, so a task never holds more than one batch and one bounded tree;
 * larger trees, of any size, are ranked by pointer jumping with joins (a logarithmic number of rounds, each written to
-  the shared folder), so no task ever gathers them.
+  the shared folder), so no task ever gathers them.  Here cycles are found by pointer jumping too, since peeling takes
+  as many rounds as a tree is deep: what has not arrived after more jumps than there are nodes goes round a cycle, and
+  the places it has come to are the cycle's nodes.
 
 Defined cases:
 

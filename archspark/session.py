@@ -15,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """Folder all executors share: ``spark.checkpoint.dir`` of the session, or the checkpoint folder its context was given.
 
     Only where the session has none (tests, a laptop) a folder of our own is made, and remembered in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="archspark-")
         spark.conf.set("spark.checkpoint.dir", found)
