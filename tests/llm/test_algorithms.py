@@ -244,6 +244,7 @@ def test_secrets():
     assert found('auth = "Basic c3ZjOnBhc3N3b3JkMTIz"\n') == ["c3ZjOnBhc3N3b3JkMTIz"]
     assert found('client_secret = "q7Zb6w1UWmCmu7zFz6Kd"\n') == ["q7Zb6w1UWmCmu7zFz6Kd"]
     assert found("I ran curl -u bob:7Zb6w1UWmCm!u%zF https://x.invalid/m and got 401.") == ["7Zb6w1UWmCm!u%zF"]
+    assert found('const char* store_pw = "trvw438GRR$pse";\n') == ["trvw438GRR$pse"]
     for none in ('password = "REPLACE_ME"\n', 'dsn = "postgres://{user}:{password}@h.invalid/x"\n', 'expected_sha256 = "' + "ab12" * 16 + '"\n', 'api_key = std::getenv("API_KEY");\n', "-----BEGIN PUBLIC KEY-----\nMIIabc123\n-----END PUBLIC KEY-----\n", "token = load_token(x)\n", ""):
         assert found(none) == [], none
 
