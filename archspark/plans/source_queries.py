@@ -25,7 +25,7 @@ def extract_source_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import texts of the files that lie as they were written (their syntax nodes are the other witness)."""
+    """Number of imports of each file that has any, from its source."""
     found = extract.extract(_sources(spark, sf_dir)).where("kind = 3 and name <> ''")
     return found.groupBy("path").agg(F.count("*").alias("imports"))
 
@@ -42,4 +42,8 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (extract_source_nodes, extract_source_imports, snapshot_roundtrip)}
 
-SQL: dict[str, str] = {}
+SQL = {
+    "extract_source_imports": r"""
+SELECT path, len(regexp_extract_all(content, CASE WHEN path LIKE '%.py' OR path LIKE '%.pyi' THEN '(?m)^[ \t]*(import [\w.]+|from [\w.]+ import)' ELSE '(?m)^[ \t]*#[ \t]*include[ \t]*[<"]' END)) AS imports
+FROM (SELECT DISTINCT path, content FROM files WHERE content IS NOT NULL) WHERE imports > 0""",
+}
