@@ -183,8 +183,68 @@ def _py_token(m: re.Match, words=PY_KEYWORDS) -> str:
     return "0" if w[0] in "0123456789." else words.get(w, "n")
 
 
+_QUOTE = re.compile(r"#[^\n]*|(\b[rbuftRBUFT]{1,2})?(\"\"\"|\'\'\'|\"|\')")
+
+
+def _string_end(text: str, at: int, quote: str, nested: bool) -> int:
+    """End of a string whose body begins at ``at``, -1 if it has none; ``nested``: expressions in braces may hold strings."""
+    n, depth = len(text), 0
+    while at < n:
+        c = text[at]
+        if depth and c not in "{}":
+            m = _QUOTE.match(text, at)
+            if m and m[2]:
+                at = _string_end(text, m.end(), m[2], "f" in (m[1] or "").lower())
+                if at < 0:
+                    return -1
+                continue
+        elif c == "\\":
+            at += 2
+            continue
+        elif text.startswith(quote, at):
+            return at + len(quote)
+        elif c == "\n" and len(quote) == 1:
+            return -1
+        if nested and c == "{":
+            if not depth and text[at + 1 : at + 2] == "{":
+                at += 1
+            else:
+                depth += 1
+        elif nested and c == "}" and depth:
+            depth -= 1
+        at += 1
+    return -1
+
+
+def _plain_strings(text: str) -> str:
+    """The text with formatted strings that hold strings replaced by plain ones, lines kept."""
+    out, at = [], 0
+    while m := _QUOTE.search(text, at):
+        if not m[2]:
+            out.append(text[at : m.end()])
+            at = m.end()
+            continue
+        formatted = "f" in (m[1] or "").lower()
+        end = _string_end(text, m.end(), m[2], formatted)
+        if end < 0:
+            break
+        out += [text[at : m.start()], '"""' + "\n" * text.count("\n", m.start(), end) + '"""' if formatted else text[m.start() : end]]
+        at = end
+    return "".join([*out, text[at:]])
+
+
 def parse_python(text: str, exact: bool = False) -> Fault | None:
     """None if ``text`` parses as Python 3. ``exact`` keeps line numbers (used to report a fault)."""
+    fault = _parse_python(text, exact)
+    if fault and _FORMATTED.search(text):  # strings within formatted strings need more than a regular expression
+        fault = _parse_python(_plain_strings(text), exact)
+    return fault
+
+
+_FORMATTED = re.compile(r"\b[rR]?[fFtT][rR]?[\"']")
+
+
+def _parse_python(text: str, exact: bool) -> Fault | None:
     if "\0" in text:
         return Fault(text.count("\n", 0, text.index("\0")) + 1, "syntax", "null byte")
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
@@ -242,8 +302,8 @@ def parse_python(text: str, exact: bool = False) -> Fault | None:
         own = blocks[-1]
         if kind != "x" or not own or own[-1] != "x":
             own.append(kind)
-            if len(own) > 200 and kind == "D":  # long runs of definitions need no memory of those before
-                if not _PY_BLOCKS["".join(own[:-1])] :
+            if len(own) > 200 and kind == "D" and own[-2] != "@":  # long runs of definitions need no memory of those before
+                if not _PY_BLOCKS["".join(own[:-1])]:
                     return Fault(begun, "syntax", "statement out of place above")
                 del own[:-1]
         wants = block
@@ -287,7 +347,7 @@ targ <- type '...'? &[,>] / type '(' params? ')' / shift '...'?
 attr <- '[' '[' attr_in* ']' ']' / 'g' '(' (type / expr) ')'
 attr_in <- [n:,0\x01cyqt] / '(' attr_in* ')'
 type <- attr* qual* base qual* ptr*
-qual <- 'q' ('(' expr ')')?
+qual <- 'q' ('(' expr ')' / '\x01')?
 base <- 't' ('t' / 'q')* / 'y' qname / [Ce] qname / 'l' '(' expr ')' / qname
 ptr <- '*' / '&&' / '&' / 'q' / qname '::' '*'
 params <- param (',' param)* (',' '...')? / '...' / 't' &')'
