@@ -78,8 +78,10 @@ either_if <- lambda / either
 pairs <- pair compfor / pair (',' pair)* ','?
 pair <- '**' bits / expr ':' expr
 trailer <- '(' args? ')' / '[' slices ']' / '.' name
-args <- arg (',' arg)* ','?
-arg <- '**' expr / '*' expr / name '=' !'=' expr / named compfor*
+args <- posarg (',' posarg)* (',' kwarg)* (',' dblarg)* ','? / kwarg (',' kwarg)* (',' dblarg)* ','? / dblarg (',' dblarg)* ','?
+posarg <- '*' expr / !(name '=' !'=') !'**' named compfor*
+kwarg <- name '=' !'=' expr / '*' expr
+dblarg <- '**' expr / name '=' !'=' expr
 slices <- slice (',' slice)* ','?
 slice <- expr? ':' expr? (':' expr?)? / star
 header <- deco / define / klass / cond / loop / with / tries / matches
@@ -87,8 +89,11 @@ deco <- '@' named
 define <- 'y'? 'D' name params_type? '(' params? ')' ('->' expr)? ':'
 params_type <- '[' type_param (',' type_param)* ','? ']'
 type_param <- '*'* name (':' expr)? ('=' expr)?
-params <- param (',' param)* ','?
-param <- '**' name note? / '*' (name (':' star)?)? / '/' / name note? ('=' expr)?
+params <- required (',' required)* (',' optional)* (',' others)? ','? / optional (',' optional)* (',' others)? ','? / others ','?
+required <- '/' / name note? !'='
+optional <- '/' / name note? '=' expr
+others <- '**' name note? / '*' (name (':' star)?)? (',' !'**' keyword)* (',' '**' name note?)?
+keyword <- name note? ('=' expr)?
 note <- ':' expr
 klass <- 'C' name params_type? ('(' args? ')')? ':'
 cond <- [IJh] named ':' / 'E' ':'

@@ -104,10 +104,10 @@ def test_cuts_stand_between_blocks():
 VALID_PYTHON = [
     "", "\n\n", "x = 1", "# only a comment", "def f(a, *, b=2, **k) -> int:\n    return a\n", "class A(B, metaclass=M):\n    '''doc'''\n    x: int = 1\n\n    @property\n    async def f(self):\n        await g()\n",
     "try:\n    pass\nexcept (A, B) as e:\n    raise\nelse:\n    x = [i for i in y if i]\nfinally:\n    del x[0], z.a\n", "if a:\n\tb\nelif c: d; e\nelse:\n\tf\n", "match x:\n    case [1, *_] | {'a': b}:\n        pass\n    case P(a=1) if z:\n        pass\n",
-    "with open(a) as f, b: x = f'{a}'\n", "x = (\n  1,\n\n # c\n  2)\n", "lambda *a, b=1: (yield)\n", "a, *b = c = d\n", "f(x for x in y)\nprint(*a, **b, sep='')\n", "x = a[1:2, ::3]\n", "from . import (a as b,\n c,)\nfrom ..x import *\n", 's = """\n<<<<<<< HEAD\n=======\n"""\n', "x = 'a' \\\n  'b'\n", "async def f():\n    async with a as b:\n        async for i in c: pass\n", "while True:\n    break\nelse:\n    pass\n", "type X = int\n", "global_x = not a == b and c is not None\n", "x: 'T' = y if z else w\n", "def f(): pass\ndef g(): return", "é = 1\n", "x = 1_000 + 0xFF + 1e-3j\n",
+    "with open(a) as f, b: x = f'{a}'\n", "x = (\n  1,\n\n # c\n  2)\n", "lambda *a, b=1: (yield)\n", "a, *b = c = d\n", "f(x for x in y)\nprint(*a, **b, sep='')\n", "x = a[1:2, ::3]\n", "from . import (a as b,\n c,)\nfrom ..x import *\n", 's = """\n<<<<<<< HEAD\n=======\n"""\n', "x = 'a' \\\n  'b'\n", "async def f():\n    async with a as b:\n        async for i in c: pass\n", "while True:\n    break\nelse:\n    pass\n", "type X = int\n", "global_x = not a == b and c is not None\n", "x: 'T' = y if z else w\n", "f(*a, b, c=1, *d, **e, g=2)\n", "def f(a, b: int = 1, /, c=2, *args: *T, d, e=3, **k): pass\n", "x = f'{f'{a!r}'}' + f'{b['c']}'\n", "def f(): pass\ndef g(): return", "é = 1\n", "x = 1_000 + 0xFF + 1e-3j\n",
 ]
 BROKEN_PYTHON = [
-    "def f(:\n    pass\n", "x = (1,\n", "if a:\nb\n", "  x = 1\n", "x = 'abc\n", '"""open', "try:\n    a\nb\n", "else:\n    pass\n", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "int main() { return 0; }\n", "<!DOCTYPE html>\n", "def f():\n    x = 1\n  y = 2\n", "f() = 1\n", "import\n", "x = 1 2\n", "class A\n    pass\n", "a → b\n", "def f():\n", "return x y\n", "x =\n", "print 'a'\n", "@a\nx = 1\n", "a)\n", "for x y:\n    pass\n", "x = {1: 2, 3}\n", "\0",
+    "def f(:\n    pass\n", "x = (1,\n", "if a:\nb\n", "  x = 1\n", "x = 'abc\n", '"""open', "try:\n    a\nb\n", "else:\n    pass\n", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "int main() { return 0; }\n", "<!DOCTYPE html>\n", "def f():\n    x = 1\n  y = 2\n", "f() = 1\n", "import\n", "x = 1 2\n", "class A\n    pass\n", "a → b\n", "def f():\n", "return x y\n", "x =\n", "print 'a'\n", "@a\nx = 1\n", "a)\n", "for x y:\n    pass\n", "x = {1: 2, 3}\n", "\0", "f(a=1, b)\n", "f(**a, *b)\n", "def f(a=1, b): pass\n", "def f(**k, a): pass\n",
 ]
 
 
