@@ -17,6 +17,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +143,112 @@ def search(points: DataFrame, query: list[float], limit: int = 10, paths: list[s
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "point_id")))  # over at most ``limit`` rows
 
 
+#: Vectors of one block; a pair of blocks is scored by one matrix product.
+BLOCK = 1024
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """Blocks ``<name>_ids, <name>_dims, <name>_values`` of ``rows`` (``id``, ``v array<double>``), each of one vector length and sorted by id.
+
+    Vectors that are null or hold a null have no score and are left out.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths):
+                rows_of_n = np.flatnonzero(lengths == n)
+                for at in range(0, len(rows_of_n), BLOCK):
+                    part = pa.array(rows_of_n[at : at + BLOCK])
+                    key = pa.ListArray.from_arrays([0, len(part)], ids.take(part))
+                    value = pa.ListArray.from_arrays([0, len(part) * int(n)], vectors.take(part).flatten())
+                    yield pa.RecordBatch.from_arrays([key, pa.array([int(n)], pa.int32()), value], [f"{name}_ids", f"{name}_dims", f"{name}_values"])
+
+    whole = rows.where("id is not null and v is not null and not exists(v, x -> x is null)")
+    return whole.mapInArrow(run, f"{name}_ids array<{kind}>, {name}_dims int, {name}_values array<double>")
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows in vector order, the same to the last bit as :func:`dot`."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _best_of_block(queries: np.ndarray, points: np.ndarray, limit: int, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, point row and exact score of the best ``limit`` points of each query (ties: the lesser point row).
+
+    The matrix product only chooses: whatever its rounding could have moved past the border is scored again in order.
+    """
+    with np.errstate(all="ignore"):
+        rough = queries @ points.T
+        slack = 4 * (points.shape[1] + 1) * np.finfo(float).eps * np.outer(np.abs(queries).sum(1), np.abs(points).max(initial=0.0))
+        border = np.partition(rough, -limit, axis=1)[:, [-limit]] - slack if rough.shape[1] > limit else np.full((len(queries), 1), -np.inf)
+        if min_score:
+            border = np.fmax(border, min_score - slack)
+        q, p = np.nonzero(~(rough < border))  # what is no number is never cut here
+        score = _in_order(queries[q], points[p])
+    order = np.lexsort((p, np.where(np.isnan(score), 0.0, -score), ~np.isnan(score), q))  # as Spark sorts: NaN is greatest
+    q, p, score = q[order], p[order], score[order]
+    first = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - first < limit
+    if min_score:
+        keep &= ~(score < min_score)
+    return q[keep], p[keep], score[keep]
+
+
+def search_all(points: DataFrame, queries: DataFrame, limit: int = 10, paths: DataFrame | None = None, min_score: float = 0.0, vector_column: str = "vector") -> DataFrame:
+    """:func:`search` for every row of ``queries`` (``query_id``, ``vector``): the columns of ``points`` without the vector, ``query_id``, ``score``, ``rank``.
+
+    Ids are unique in either table.  Blocks of queries meet blocks of points; a task keeps the best ``limit`` of each query
+    over the blocks it has seen, so only those are shuffled.  Vectors of other lengths than a query's have no score.
+    """
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    if paths is not None:
+        points = points.join(paths.select("path").distinct(), "path", "left_semi")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = F.col(vector_column).cast("array<double>").alias("v")
+    right = _packed(points.select(F.col("point_id").alias("id"), wide).repartition(parts, "id").sortWithinPartitions("id"), "p")
+    left = _packed(queries.select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("v")).repartition("id").sortWithinPartitions("id"), "q")
+    kinds = [df.schema[name].dataType for df, name in ((queries, "query_id"), (points, "point_id"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[object, pa.Table] = {}  # of each block of queries, by its least id and length
+
+        def merged(held: pa.Table) -> pa.Table:
+            """The best of each query over all blocks seen; ties by point id."""
+            held = held.sort_by([("query_id", "ascending"), ("nan", "descending"), ("score", "descending"), ("point_id", "ascending")])
+            ids = held["query_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+            return held.take(pa.array(np.flatnonzero(np.arange(len(ids)) - np.searchsorted(ids, ids) < limit)))
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cell = lambda name: batch.column(batch.schema.get_field_index(name))[row]  # noqa: B023, E731
+                n = cell("q_dims").as_py()
+                if n != cell("p_dims").as_py():
+                    continue
+                q_ids, p_ids = cell("q_ids").values, cell("p_ids").values
+                a, b = (cell(x).values.to_numpy(zero_copy_only=False).reshape(len(ids), n) for x, ids in (("q_values", q_ids), ("p_values", p_ids)))
+                q, p, score = _best_of_block(a, b, limit, min_score)
+                got = pa.table({"query_id": q_ids.take(pa.array(q)), "point_id": p_ids.take(pa.array(p)), "score": pa.array(score), "nan": pa.array(np.isnan(score))})
+                key = (q_ids[0].as_py(), n)
+                best[key] = merged(pa.concat_tables([best.pop(key), got])) if key in best else got
+                if len(best) > 16:  # the block used longest ago is done, or comes again and is merged later
+                    yield from best.pop(next(iter(best))).drop_columns(["nan"]).to_batches()
+        for held in best.values():
+            yield from held.drop_columns(["nan"]).to_batches()
+
+    schema = f"query_id {kinds[0].simpleString()}, point_id {kinds[1].simpleString()}, score double"
+    some = left.crossJoin(right).mapInArrow(run, schema)
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
+    top = some.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= limit)
+    return top.join(points.drop(vector_column), "point_id")
+
+
 def citation(df: DataFrame) -> DataFrame:
     return df.withColumn("citation", F.format_string("%s:%d-%d", F.col("path"), F.col("line_start"), F.col("line_end")))
 

@@ -139,6 +139,28 @@ def vector_scope_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(vectors.search(_points(spark, sf_dir), _query(spark, sf_dir), paths=[]))
 
 
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _found_all(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "point_id", "path", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all points."""
+    return _found_all(vectors.search_all(_points(spark, sf_dir), _queries(spark, sf_dir)))
+
+
+def vector_topk_scoped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = spark.createDataFrame([("label1",), ("label3",)], "path string")
+    return _found_all(vectors.search_all(_points(spark, sf_dir), _queries(spark, sf_dir), paths=scope))
+
+
+def vector_topk_min_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found_all(vectors.search_all(_points(spark, sf_dir), _queries(spark, sf_dir), limit=50, min_score=0.25))
+
+
 def vector_latest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points indexed again later replace their older rows."""
     return vectors.latest(table(spark, sf_dir, "chunk_index").select("point_id", "path", "qualified_name", "indexed_at")).select("point_id", "path", "qualified_name", "indexed_at")
@@ -212,7 +234,7 @@ QUERIES = {
     for f in (
         suffix_index, import_resolution, import_ambiguity, resolution_stats, unresolved_targets, relative_import_resolution, inheritance_edges, kind_counts, file_vertices, arena_violations, arena_walk,
         class_cohesion, lcom4_components, cohesion_ranked, violations_cohesion, enclosing_classes, chunk_declarations, chunk_unreadable, document_chunk_ids,
-        vector_topk, vector_topk_scoped, vector_topk_min_score, vector_scope_empty, vector_latest_points, vector_upsert, vector_delete_paths, vector_payload_metrics, hash_embed_documents,
+        vector_topk, vector_topk_scoped, vector_topk_min_score, vector_topk_all, vector_topk_scoped_all, vector_topk_min_score_all, vector_scope_empty, vector_latest_points, vector_upsert, vector_delete_paths, vector_payload_metrics, hash_embed_documents,
         context_greedy_budget, audit_recent, audit_for_target, audit_failures, audit_count, audit_get,
     )
 }
@@ -280,6 +302,14 @@ def _vector(where: str, limit: int) -> str:
     )
 
 
+def _vector_all(where: str, limit: int) -> str:
+    score = "list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[])"
+    return (
+        f"WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS point_id, 'label' || label AS path, {score} AS score FROM embeddings e, q) "
+        f"SELECT query_id, point_id, path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, point_id) AS rank FROM s WHERE {where} QUALIFY rank <= {limit}"
+    )
+
+
 _LOGGED = "SELECT DISTINCT id, created_at, target, model, error, prompt_chars FROM requests"
 
 SQL = {
@@ -335,6 +365,9 @@ FROM decl WHERE name <> ''""",
     "vector_topk": _vector("true", 10),
     "vector_topk_scoped": _vector("path IN ('label1', 'label3')", 10),
     "vector_topk_min_score": _vector("s.score >= 0.25", 50),
+    "vector_topk_all": _vector_all("true", 10),
+    "vector_topk_scoped_all": _vector_all("path IN ('label1', 'label3')", 10),
+    "vector_topk_min_score_all": _vector_all("s.score >= 0.25", 50),
     "vector_scope_empty": _vector("false", 10),
     "vector_latest_points": "SELECT DISTINCT point_id, path, qualified_name, indexed_at FROM chunk_index QUALIFY indexed_at = max(indexed_at) OVER (PARTITION BY point_id)",
     "vector_upsert": "SELECT DISTINCT chunk_no AS point_id, path, kind, CASE WHEN kind = 'class' THEN upper(qualified_name) ELSE qualified_name END AS qualified_name FROM chunks",

@@ -2,9 +2,11 @@
 
 import io
 import math
+import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from archspark import schemas as S
 from archspark.operators import audit, chunk, cohesion, context, edges, resolve, vectors
@@ -119,6 +121,35 @@ def test_hash_embedder_and_search(spark, tmp_path):
         store.upsert(vectors.embed(rows, vectors.HashEmbedder(8), "text"))
 
 
+def test_search_of_every_query(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rng = random.Random(5)
+    made = [(k, f"p{k % 3}", [rng.randint(-3, 3) / 7 for _ in range(8)]) for k in range(200)]
+    made += [(200 + k, "p0", made[k][2]) for k in range(40)] + [(300, "p1", None), (301, "p1", [1.0, 2.0])]
+    points = spark.createDataFrame(made, "point_id long, path string, vector array<float>")
+    asked = points.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "vector")
+    whole = [r for r in points.collect() if r.vector and len(r.vector) == 8]
+
+    def brute(limit, paths, least):
+        out = []
+        for q in (r for r in whole if r.point_id % 20 == 0):
+            scored = []
+            for r in whole:
+                s = 0.0
+                for x, y in zip(q.vector, r.vector):
+                    s += x * y
+                scored.append((-s, r.point_id, r.path))
+            scored = sorted(x for x in scored if (not paths or x[2] in paths) and (not least or -x[0] >= least))[:limit]
+            out += [(q.point_id, i, p, -s, k + 1) for k, (s, i, p) in enumerate(scored)]
+        return sorted(out)
+
+    for limit, paths, least in ((3, None, 0.0), (10, ["p1"], 0.0), (50, None, 0.4), (500, None, 0.0)):
+        scope = spark.createDataFrame([(p,) for p in paths], "path string") if paths else None
+        got = vectors.search_all(points, asked, limit, scope, least).select("query_id", "point_id", "path", "score", "rank").collect()
+        assert sorted(map(tuple, got)) == brute(limit, paths, least)
+    assert vectors.search_all(points, asked.limit(0)).count() == 0 and vectors.search_all(points.limit(0), asked).count() == 0
+
+
 def test_budget(spark):
     items = [(1, [(f"fn{k}", 100) for k in range(10)] + [("big", 50_000)])]
     df = spark.createDataFrame(items, "k int, items array<struct<id:string,size:int>>")
