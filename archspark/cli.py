@@ -112,7 +112,7 @@ def master_index(a: argparse.Namespace) -> int:
     if a.recreate:
         store.write(store.points().limit(0)) if store.version() else None
     done = pipeline.index_snapshot(nodes, sources, made.modules, store, embedder)
-    print(f"{done.chunks} chunks of {done.files} files with {done.embedder}; {len(done.unreadable)} unreadable")
+    print(f"{done.chunks} chunks of {done.files} files with {done.embedder}; {done.unreadable_line()}")
     return 0
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from archspark.operators import chunk, context, graph, metrics, vectors
 from archspark.operators.audit import AuditLog
+from archspark.session import durable
 
 
 @dataclass
@@ -49,11 +50,20 @@ def default_model() -> str:
 
 @dataclass
 class IndexReport:
+    """What was indexed; ``unreadable`` holds the paths of all files without content (a written table), counted exactly."""
+
     chunks: int
     files: int
-    unreadable: list[str]
+    unreadable: DataFrame
+    unreadable_count: int
     embedder: str
 
+    def unreadable_line(self, shown: int = 3) -> str:
+        """The count, with the first paths as a preview."""
+        first = [str(r["path"]) for r in self.unreadable.orderBy("path").limit(shown).collect()] if self.unreadable_count else []
+        more = self.unreadable_count - len(first)
+        return f"{self.unreadable_count} unreadable" + (f": {', '.join(first)}" if first else "") + (f" (and {more} more)" if more else "")
+
 
 def index_snapshot(nodes: DataFrame, files: DataFrame, module_metrics: DataFrame, store: vectors.VectorStore, embedder: vectors.Embedder, config: chunk.ChunkingConfig = chunk.ChunkingConfig()) -> IndexReport:
     """Chunk, embed and store every declaration as one DataFrame plan; the points of these paths are replaced."""
@@ -63,8 +73,8 @@ def index_snapshot(nodes: DataFrame, files: DataFrame, module_metrics: DataFrame
     points = vectors.point_ids(vectors.embed(vectors.with_metrics(found, module_metrics), embedder)).drop("embedding_text")
     store.replace_paths(points)
     stored = store.points().join(nodes.select("path").distinct(), "path", "left_semi").agg(F.count("*").alias("n"), F.count_distinct("path").alias("p")).first()
-    lost = [r["path"] for r in chunk.unreadable(nodes, files).orderBy("path").limit(1000).collect()]
-    return IndexReport(stored["n"], stored["p"], lost, embedder.name)
+    lost = durable(chunk.unreadable(nodes, files))
+    return IndexReport(stored["n"], stored["p"], lost, lost.count(), embedder.name)
 
 
 def search_code(store: vectors.VectorStore, embedder: vectors.Embedder, query: str, limit: int = 10, paths: list[str] | None = None, min_score: float = 0.0) -> DataFrame:

@@ -284,6 +284,19 @@ def test_walk_and_cli(spark, tmp_path, capsys):
     assert "Failed" in text and "cycle" in text
 
 
+def test_index_reports_every_unreadable_file(spark, tmp_path):
+    from archspark.plans import pipeline
+
+    schema = "file_id bigint, path string, node_id int, parent_index int, first_child_index bigint, child_count bigint, kind int, name string, byte_start bigint, byte_end bigint"
+    nodes = spark.createDataFrame([(k, f"f{k:04d}.py", 0, -1, None, None, S.FILE, "", 0, 10) for k in range(1203)], schema)
+    files = spark.createDataFrame([(k, f"f{k:04d}.py", "x = 1\n" if k < 2 else None) for k in range(1203)], "file_id bigint, path string, content string")
+    e = vectors.HashEmbedder(8)
+    store = vectors.VectorStore(spark, f"file://{tmp_path}/index", e.name, 8)
+    done = pipeline.index_snapshot(nodes, files, spark.createDataFrame([], "path string, ca int, ce int, instability double"), store, e)
+    assert done.unreadable_count == 1201 and sorted(r.path for r in done.unreadable.collect()) == [f"f{k:04d}.py" for k in range(2, 1203)]
+    assert done.unreadable_line() == "1201 unreadable: f0002.py, f0003.py, f0004.py (and 1198 more)"
+
+
 def test_arena(spark):
     from archspark.operators import arena
 
