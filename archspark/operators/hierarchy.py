@@ -248,24 +248,11 @@ def by_tree(run):
 # --------------------------------------------------------------------------- relational way for trees of any size
 
 
-def _large(nodes: DataFrame, with_paths: bool, bound: int) -> DataFrame:
-    """Pointer jumping by joins; ``bound`` is at least the number of rows of the largest tree."""
-    value = F.struct(F.col("parent_index").isNull().alias("z"), "parent_index", "first_child_index", "child_count")
-    once = durable(nodes.groupBy("file_id", "node_id").agg(F.min(value).alias("v")).select("file_id", "node_id", "v.parent_index", "v.first_child_index", "v.child_count"))
-    # null parents: nodes and ranges meet in blocks of node ids, so a wide range is split over its blocks
-    block = 4096
-    ranges = once.where("child_count > 0 and first_child_index is not null").select("file_id", F.col("node_id").alias("owner"), F.col("first_child_index").alias("lo"), (F.col("first_child_index") + F.col("child_count")).alias("hi"))
-    extent = once.groupBy("file_id").agg(F.min("node_id").alias("least"), F.max("node_id").alias("most"))
-    ranges = ranges.join(extent, "file_id").withColumn("lo", F.greatest("lo", "least")).withColumn("hi", F.least("hi", F.col("most") + 1)).where("lo < hi")
-    ranges = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
-    unlinked = once.where("parent_index is null").select("file_id", "node_id", F.floor(F.col("node_id") / block).alias("block"))
-    by_range = unlinked.join(ranges, ["file_id", "block"]).where("node_id >= lo and node_id < hi").groupBy("file_id", "node_id").agg(F.min("owner").alias("range_owner"))
-    linked = once.join(by_range, ["file_id", "node_id"], "left").select("file_id", "node_id", F.when(F.col("parent_index").isNull(), F.coalesce("range_owner", F.lit(-1))).otherwise(F.greatest("parent_index", F.lit(-1))).alias("p"))
-    there = once.select("file_id", F.col("node_id").alias("p"), F.lit(True).alias("there"))
-    base = durable(linked.join(there, ["file_id", "p"], "left").select("file_id", "node_id", F.when(F.col("p") < 0, F.lit(None)).otherwise(F.col("p")).alias("parent"), (F.col("p").isNotNull() & (F.col("p") >= 0) & F.col("there").isNull()).alias("missing")))
-    rounds = max(1, int(np.ceil(np.log2(bound + 1))) + 1)
+def _jump(base: DataFrame, rounds: int, with_paths: bool) -> DataFrame:
+    """Where each node of ``base`` (``file_id, node_id, parent, missing``) ends, ``j``, after ``d`` steps; not ``done`` if it never does.
 
-    # doubling over parents: ends at a root or an orphan, or runs round a cycle for ever
+    ``path`` joins the ids from there by '/'; it is asked for nodes that reach a root only.
+    """
     end = F.col("parent").isNull() | F.col("missing")
     hop = base.select("file_id", "node_id", F.when(end, F.col("node_id")).otherwise(F.col("parent")).alias("j"), F.when(end, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("d"), F.when(end, F.col("node_id").cast("string")).otherwise(F.concat(F.col("parent").cast("string"), F.lit("/"), F.col("node_id").cast("string"))).alias("path"), end.alias("done"))
     if not with_paths:
@@ -282,10 +269,37 @@ def _large(nodes: DataFrame, with_paths: bool, bound: int) -> DataFrame:
         drop_durable(before)
         if hop.where(~F.col("done")).isEmpty():
             break
+    return hop
+
+
+def _large(nodes: DataFrame, with_paths: bool, bound: int) -> DataFrame:
+    """Pointer jumping by joins; ``bound`` is at least the number of rows of the largest tree."""
+    value = F.struct(F.col("parent_index").isNull().alias("z"), "parent_index", "first_child_index", "child_count")
+    once = durable(nodes.groupBy("file_id", "node_id").agg(F.min(value).alias("v")).select("file_id", "node_id", "v.parent_index", "v.first_child_index", "v.child_count"))
+    # null parents: nodes and ranges meet in blocks of node ids, so a wide range is split over its blocks
+    block = 4096
+    ranges = once.where("child_count > 0 and first_child_index is not null").select("file_id", F.col("node_id").alias("owner"), F.col("first_child_index").alias("lo"), (F.col("first_child_index") + F.col("child_count")).alias("hi"))
+    extent = once.groupBy("file_id").agg(F.min("node_id").alias("least"), F.max("node_id").alias("most"))
+    ranges = ranges.join(extent, "file_id").withColumn("lo", F.greatest("lo", "least")).withColumn("hi", F.least("hi", F.col("most") + 1)).where("lo < hi")
+    ranges = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
+    unlinked = once.where("parent_index is null").select("file_id", "node_id", F.floor(F.col("node_id") / block).alias("block"))
+    by_range = unlinked.join(ranges, ["file_id", "block"]).where("node_id >= lo and node_id < hi").groupBy("file_id", "node_id").agg(F.min("owner").alias("range_owner"))
+    linked = once.join(by_range, ["file_id", "node_id"], "left").select("file_id", "node_id", F.when(F.col("parent_index").isNull(), F.coalesce("range_owner", F.lit(-1))).otherwise(F.greatest("parent_index", F.lit(-1))).alias("p"))
+    there = once.select("file_id", F.col("node_id").alias("p"), F.lit(True).alias("there"))
+    base = durable(linked.join(there, ["file_id", "p"], "left").select("file_id", "node_id", F.when(F.col("p") < 0, F.lit(None)).otherwise(F.col("p")).alias("parent"), (F.col("p").isNotNull() & (F.col("p") >= 0) & F.col("there").isNull()).alias("missing")))
+    rounds = max(1, int(np.ceil(np.log2(bound + 1))) + 1)
+
+    # doubling over parents: ends at a root or an orphan, or runs round a cycle for ever; no paths yet, as those of a cycle never end
+    hop = _jump(base, rounds, False)
     looped = hop.where(~F.col("done")).select("file_id", F.col("j").alias("node_id")).distinct().withColumn("cyclic", F.lit(True))
     ends = base.select("file_id", F.col("node_id").alias("j"), F.col("missing").alias("end_missing"))
     state = F.when(F.col("cyclic"), "in_cycle").when(~F.col("done"), "below_cycle").when(F.col("end_missing"), "orphaned").otherwise("ok")
     out = durable(hop.join(looped, ["file_id", "node_id"], "left").join(ends, ["file_id", "j"]).join(base.select("file_id", "node_id", "parent", "missing"), ["file_id", "node_id"]).withColumn("state", state))
+    drop_durable(hop)
+    whole = out
+    if with_paths:
+        paths = _jump(out.where("state = 'ok'").select("file_id", "node_id", "parent", "missing"), rounds, True)
+        whole = out.join(paths.select("file_id", "node_id", "path"), ["file_id", "node_id"], "left")
 
     # Euler tour of what is left when cycle edges are cut, ranked by doubling over its arcs (2 * node: down, + 1: up)
     cut = F.col("parent").isNull() | F.col("missing") | (F.col("state") == "in_cycle")
@@ -309,12 +323,12 @@ def _large(nodes: DataFrame, with_paths: bool, bound: int) -> DataFrame:
     length = ranked.where("node_id = tour_root").select("file_id", "tour_root", F.col("s_in").alias("last"))
     placed = ranked.join(length, ["file_id", "tour_root"])
     ok = F.col("state") == "ok"
-    result = out.join(placed, ["file_id", "node_id"]).select(
+    result = whole.join(placed, ["file_id", "node_id"]).select(
         "file_id", "node_id", F.when(~F.col("missing"), F.col("parent")).alias("parent_id"), "state",
         F.when(ok, F.col("d")).cast("int").alias("depth"), F.when(ok, F.col("j")).cast("int").alias("root_id"),
         F.when(ok, F.col("last") - F.col("s_in")).alias("entry"), F.when(ok, F.col("last") - F.col("s_out")).alias("exit"),
         F.when(F.col("state") != "in_cycle", ((F.col("s_in") - F.col("s_out") - 1) / 2).cast("bigint")).alias("descendants"),
-        *([F.when(ok, F.col("path")).alias("path")] if with_paths else []),
+        *(["path"] if with_paths else []),
     )
     return result
 

@@ -70,6 +70,23 @@ def test_like_brute_force(spark, seed, limit):
     assert got == brute(rows)
 
 
+def test_large_tree_with_a_cycle_writes_no_endless_paths(spark, monkeypatch):
+    from archspark.operators import hierarchy as module
+
+    rows = [(1, k, k - 1, None, None) for k in range(6)] + [(1, 10, 11, None, None), (1, 11, 10, None, None)] + [(1, k, 10, None, None) for k in range(12, 90)] + [(1, 95, 99, None, None)]
+    written, durable = [], module.durable
+
+    def spy(df):
+        out = durable(df)
+        if "path" in out.columns:
+            written.extend(len(r.path) for r in out.where("path is not null").collect())
+        return out
+
+    monkeypatch.setattr(module, "durable", spy)
+    assert found(hierarchy(spark.createDataFrame(rows, SCHEMA), max_tree_rows=5)) == brute(rows)
+    assert written and max(written) <= len("0/1/2/3/4/5")
+
+
 def test_deep_chain_and_wide_star(spark):
     chain = [(1, k, k - 1, None, None) for k in range(3000)]
     star = [(2, k, -1 if k == 0 else 0, None, None) for k in range(3000)]
