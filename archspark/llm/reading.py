@@ -159,7 +159,7 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
     english = lengths[voted & (best == 0)].sum()
     if not english or english < 0.5 * lengths[voted].sum():
         return None
-    windows = range(0, max(1, n - 49), 50)
+    windows = [*range(0, max(1, n - 49), 50), *([n - 50] if n > 50 and n % 50 else [])]  # the last one over the final 50 words
     diversity = sum(len(set(ids[i : i + 50])) / len(ids[i : i + 50]) for i in windows) / len(windows)
     size, long, syllables, rare, rarest, linked, below = (lexicon.columns[at].sum(0, dtype=np.float64) / n).tolist()
     k, commas = len(parts), text.count(",")

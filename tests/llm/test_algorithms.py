@@ -336,6 +336,17 @@ def test_running_text():
     assert reading.sentences(text) == ["The tree stops.", "It needs one page and another page.", "The first item of the list", "The second item  "] or [s.strip() for s in reading.sentences(text)] == ["The tree stops.", "It needs one page and another page.", "The first item of the list", "The second item"]
 
 
+def test_diversity_reads_the_last_words():
+    import numpy as np
+
+    whole = ["the", "of", "and", "to", "in", "is"] + [f"{a}{b}ing" for a in "bcdfghklmn" for b in ("a", "e", "i", "o")] + ["that", "with", "from", "they"]
+    for tail in (["the", "page"] * 24 + ["and"], whole[:49]):
+        words = [*whole, *tail]
+        assert len(whole) == 50 and len(words) == 99
+        got = reading.features(" ".join(words) + ".", reading.Lexicon(np.zeros(reading.BUCKETS)))
+        assert np.isclose(got[6], (1.0 + len(set(words[-50:])) / 50) / 2)
+
+
 def test_ordinal_regression_recovers_an_order():
     import numpy as np
 
