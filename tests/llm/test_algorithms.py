@@ -271,6 +271,14 @@ def test_credentials_beside_a_private_key():
     assert sorted(v for _, v in model.secrets(two, "")) == sorted([block, block, other])
 
 
+def test_numbers_of_a_long_value_count_all_of_it():
+    markov = secrets.Markov(secrets.Counter(["word"]))
+    numbers = lambda v: dict(zip(secrets.NUMERIC, secrets._numbers(secrets.Candidate(0, v, "quoted", "token", (), False), markov)))
+    got = numbers("a" * 400 + "7Q" * 400)
+    assert got["length"] == pytest.approx(secrets.math.log(1200)) and got["digits"] == pytest.approx(1 / 3) and got["upper"] == pytest.approx(1 / 3)
+    assert got["likelihood"] != numbers("a" * 400)["likelihood"] and got["entropy"] > 1.5
+
+
 def test_model_without_labels_uses_the_prior():
     model = secrets.train([("x = 1\n", "")])
     assert [v for _, v in model.secrets('token = "ghp_' + "a1B2" * 9 + '"\n')] == ["ghp_" + "a1B2" * 9]
