@@ -3,7 +3,8 @@
 Each language has a parsing-expression grammar, run by a packrat parser that must consume the whole file.  The memo
 goes beyond one file: names, numbers, strings and comments are first reduced to one character each, so statements of
 the same shape are the same text, and a shape is parsed once per worker.  Lines (Python) and the stretches between
-``; { }`` (C++) are parsed so, and the nesting of blocks by grammars over the kinds of their statements.
+``; { }`` (C++) are parsed so.  The nesting of blocks is parsed by a grammar over the kinds of statements in Python only;
+in C++ a stack of brackets holds the scopes, and a stretch is not judged by the scope it stands in.
 
 A failure reports its furthest position (line), and a cause: ``merge_conflict``, ``truncated`` (the input ends too
 early), ``wrong_language`` or ``syntax``.
