@@ -150,7 +150,7 @@ field <- (yields / stars) '\0'
     {"line": lambda text, at: text.find("\n", at) + 1 or len(text)},
 )
 
-_PY_PLAIN = r"\"\"\"[^\\\"]*+(?:(?:\\.|\"(?!\"\"))[^\\\"]*+)*+\"\"\"|'''[^\\']*+(?:(?:\\.|'(?!''))[^\\']*+)*+'''|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_PY_PLAIN = r"\"\"\"[^\\\"]*+(?:(?:\\.|\"(?!\"\"))[^\\\"]*+)*+\"\"\"|'''[^\\']*+(?:(?:\\.|'(?!''))[^\\']*+)*+'''|\"(?!\"\")[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'(?!'')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _PY_EXACT = r"(?:0[xX](?:_?[\da-fA-F])++|0[bB](?:_?[01])++|0[oO](?:_?[0-7])++|(?:(?:\d(?:_?\d)*+)?\.\d(?:_?\d)*+|\d(?:_?\d)*+\.?+)(?:[eE][+-]?\d(?:_?\d)*+)?+[jJ]?+)"
 _PY_NUMBER = rf"{_PY_EXACT}(?:(?!\w)|(?=(?:and|else|for|if|in|is|or|not)\b))|\.?\d[\w.]*+"
 _PY = re.compile(rf"[ \t\f]*+(\n[ \t\f]*+|#[^\n]*+|(?:[rbuftRBUFT]{{1,2}})?(?:{_PY_PLAIN})|[^\W\d]\w*+|{_PY_NUMBER}|\*\*=|//=|>>=|<<=|\.\.\.|[-+*/%@&|^=!<>:]=|\*\*|//|>>|<<|->|\\\n|.)", re.S)
