@@ -12,8 +12,7 @@ from archspark.session import table
 def _secret_model(spark: SparkSession, sf_dir: str):
     """Both tables and the model trained on a bounded sample of each."""
     index, requests = table(spark, sf_dir, "chunk_index"), table(spark, sf_dir, "requests")
-    texts = secrets.sample(index, "point_id", "text", "path", secrets.TRAIN_TEXTS) + secrets.sample(requests, "id", "prompt", None, secrets.TRAIN_TEXTS)
-    return index, requests, secrets.train(texts)
+    return index, requests, secrets.learn([(index, "point_id", "text", "path"), (requests, "id", "prompt", None)])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_doc_pairs(spark):
 
 def test_secrets(spark):
     df = spark.createDataFrame([(1, 'x = "ghp_' + "a1B2" * 9 + '"\n', None), (1, 'x = "ghp_' + "a1B2" * 9 + '"\n', None), (2, None, "a.py"), (None, "password = 'abcDEF123456'", "a.py"), (3, "", "a.py"), (4, LONG + '\ntoken = "ghp_' + "c3D4" * 9 + '"\n', "a.py")], "id bigint, text string, path string").withColumn("row_id", F.lit(1)).withColumn("secret", F.lit(1))
-    model = secrets.train(secrets.sample(df, "id", "text", "path", 100))
+    model = secrets.learn([(df, "id", "text", "path")], 100)
     assert rows(secrets.find(df, model, id_column="id", text_column="text", path_column="path")) == [(1, "ghp_" + "a1B2" * 9), (4, "ghp_" + "c3D4" * 9)]
     masked = {r.row_id: r.text for r in secrets.redacted(df, model, id_column="id", text_column="text").collect()}
     assert masked[1] == 'x = "' + "*" * 40 + '"\n' and masked[2] is None and masked[3] == ""
