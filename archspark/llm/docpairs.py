@@ -31,8 +31,8 @@ _SKIP = re.compile(r"(?:[ \t\r\n\f]|\\\r?\n|#[^\n]*)*")
 _DOCSTRING = re.compile(r"([rRuU]?)(?:\"\"\"((?:\\.|[^\\])*?)\"\"\"|'''((?:\\.|[^\\])*?)'''|\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)')", re.S)
 _AFTER = re.compile(r"[ \t]*(?:;|#|\r?\n|\Z)")
 _COMMENT = re.compile(r"[ \t]*(?:(//[^\n]*)|(/\*.*?\*/))[ \t]*\r?\n?|[ \t]*\r?\n", re.S)
-_CC_NAME = re.compile(r"([~\w:]+)\s*\(([^;{]*)\)[^;{()]*(?::[^{;]*)?\{", re.S)
-_CC_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|R"(\w*)\(.*?\)\1"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'|[{}]', re.S)
+_CC_SIGN = re.compile(r'//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?+|"(?:\\.|[^"\\\n])*+"|\'(?:\\.|[^\'\\\n])+\'|(?<![~\w:])[~\w:]++(?=\s*+\()|[(){};]', re.S)
+_CC_TOKEN = re.compile(r'//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?+|R"(\w{0,16})\(.*?(?:\)\1"|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'|[{}]', re.S)
 
 
 @dataclass
@@ -78,7 +78,7 @@ def python_function(text: str) -> Function | None:
     if start is None:
         return Function(sig[1], [], None, text)
     parameters = _names(text[sig.end() : close], True)
-    end = _python_end(text, sig, start)
+    end = _python_end(text, start)
     at = _SKIP.match(text, start).end()
     doc, after = [], at
     while at < end and (m := _DOCSTRING.match(text, at)):
@@ -93,28 +93,51 @@ def python_function(text: str) -> Function | None:
     return Function(sig[1], parameters, "".join(doc), text[: _SKIP.match(text, start).end()] + text[after:end])
 
 
-def _python_end(text: str, sig: re.Match, start: int) -> int:
-    """End of the body: the first line outside strings and brackets indented no deeper than the definition."""
-    line = text.rfind("\n", 0, sig.start(1)) + 1
-    indent = len(re.compile(r"[ \t]*").match(text, line)[0].expandtabs(8)) if line else None
-    if indent is None:  # the text begins at ``def``: nested lines tell the depth, only column 0 can end it
-        indent = 0
-    depth, at = 0, start
-    while True:
+def _python_end(text: str, start: int) -> int:
+    """End of the body that begins at ``start``: a stack holds the indentation of its open blocks, and the first logical line
+    that leaves them all is outside.  A body on the definition's own line ends with that line."""
+    stack: list[int] = []
+    depth, at, first = 0, start, True
+    tokens = _PY_TOKEN.finditer(text, start)
+    m = next(tokens, None)
+    while at < len(text):
         stop = text.find("\n", at)
-        if stop < 0:
-            return len(text)
-        depth_before = depth
-        for m in _PY_TOKEN.finditer(text, at, stop + 1):
+        stop = len(text) if stop < 0 else stop
+        lead = _BLANKS.match(text, at, stop)
+        empty = lead.end() == stop or text[lead.end()] in "\r#"
+        if not first and not depth and not empty:  # a logical line begins
+            indent = len(lead[0].expandtabs(8))
+            if not stack and indent == 0:
+                return at
+            while stack and indent < stack[-1]:
+                stack.pop()
+            if not stack and at != body:
+                return at
+            if not stack or indent > stack[-1]:
+                stack.append(indent)
+        while m and m.start() < stop:
             if m.end() > stop:
                 stop = text.find("\n", m.end())
+                stop = len(text) if stop < 0 else stop
             depth += (m[0] in "([{") - (m[0] in ")]}")
-        if stop < 0:
-            return len(text)
+            m = next(tokens, None)
+        inline = first and not empty
         at = stop + 1
-        body = re.compile(r"[ \t]*").match(text, at)
-        if depth <= 0 and depth_before <= 0 and body.end() < len(text) and text[body.end()] not in "\r\n#" and len(body[0].expandtabs(8)) <= indent and line == 0 and body.end() == at:
-            return at
+        if inline and not depth:
+            return min(at, len(text))
+        if first or not stack:
+            body = _next_line(text, at)
+        first = False
+    return len(text)
+
+
+_BLANKS = re.compile(r"[ \t\f]*")
+_NEXT = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*+")
+
+
+def _next_line(text: str, at: int) -> int:
+    """Begin of the first line from ``at`` that is neither blank nor a comment."""
+    return _NEXT.match(text, at).end()
 
 
 def cc_function(text: str) -> Function | None:
@@ -135,17 +158,43 @@ def cc_function(text: str) -> Function | None:
             elif m[2] and len(comment) > 4 and comment[2] in "*!" and comment[3] not in "*<":
                 doc.append(re.sub(r"(?m)^[ \t]*\*+(?!/)", "", comment[3:-2]))
         at = m.end()
-    sig = _CC_NAME.search(text, at)
+    sig = _cc_signature(text, at)
     if not sig:
         return Function("", [], "\n".join(doc) if doc else None, text[at:])
+    name, parameters, body = sig
     depth, end = 1, len(text)
-    for m in _CC_TOKEN.finditer(text, sig.end()):
+    for m in _CC_TOKEN.finditer(text, body):
         depth += (m[0] == "{") - (m[0] == "}")
         if depth == 0:
             end = m.end()
             break
-    parameters = _names(text[sig.start(2) : sig.end(2)], False)
-    return Function(sig[1].rpartition("::")[2], parameters, "\n".join(doc) if doc and distance <= 1 else None, text[at:end])
+    return Function(name.rpartition("::")[2], _names(parameters, False), "\n".join(doc) if doc and distance <= 1 else None, text[at:end])
+
+
+def _cc_signature(text: str, at: int) -> tuple[str, str, int] | None:
+    """(name, parameter list, begin of the body) of the first declarator with a parameter list that a body follows."""
+    name, depth, group, opened = "", 0, None, 0
+    for m in _CC_SIGN.finditer(text, at):
+        c = m[0]
+        if c == "(":
+            if not depth:
+                opened = m.end()
+            depth += 1
+        elif c == ")":
+            depth = max(0, depth - 1)
+            if not depth and name and group is None and opened:
+                group = (opened, m.start())
+        elif depth:
+            continue
+        elif c == ";" or c == "}":
+            name, group, opened = "", None, 0
+        elif c == "{":
+            if group:
+                return name, text[group[0] : group[1]], m.end()
+            name, opened = "", 0
+        elif c[0] not in "/\"'" and group is None:
+            name = c
+    return None
 
 
 def function_at_head(text: str) -> Function | None:

@@ -67,7 +67,7 @@ _REFUSAL = re.compile(
     re.I,
 )
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)")
-_CODE = re.compile(r"`[^`\n]*`|[\w./\\-]*/[\w./\\-]+|\b\w+(?:_\w+)+\b|\b\w+\(\)?|https?://\S+|\b\w*\d\w*\b|[A-Z]\w*[A-Z]\w*")
+_CODE = re.compile(r"`[^`\n]*`|(?<![\w./\\-])[\w.\\-]*+/[\w./\\-]++|\b(?=\w+?_\w)\w++|\b\w++\(\)?|https?://\S+|\b\w*\d\w*\b|[A-Z]\w*[A-Z]\w*")
 _WORD = re.compile(r"\w+", re.UNICODE)
 _NOTHING = re.compile(r"(?:null|none|nil|n\s*/?\s*a|nan|undefined|(?:final )?(?:answer|response|output|result|reply)|no (?:content|answer|response|output)|empty|tbd|todo|text|json|python|cpp)*", re.I)
 
@@ -159,7 +159,7 @@ class Languages:
         return int(order[-1]) if s[order[-1]] - s[order[-2]] >= margin else None
 
 
-_PIECE = re.compile(r"```|~~~|[\w./\\-]*/[\w./\\-]+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+(?:\.\d+)?|\w+|\n+|[^\w\s]", re.UNICODE)
+_PIECE = re.compile(r"```|~~~|(?<![\w./\\-])[\w.\\-]*+/[\w./\\-]++|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+(?:\.\d+)?|\w+|\n+|[^\w\s]", re.UNICODE)
 
 
 def pieces(text: str) -> list[str]:

@@ -53,7 +53,7 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cut chunk put together again from its pieces: bytes, least and most offsets, and a digest of the text."""
-    own = F.expr("cast(substring(cast(text as binary), cast(own_start - byte_start as int) + 1, 1000000) as string)")
+    own = F.expr("cast(substring(cast(text as binary), cast(own_start - byte_start as int) + 1) as string)")
     parts = p3_pieces(spark, sf_dir).withColumn("own", own)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")
     return parts.groupBy("chunk_no").agg(F.min("byte_start").alias("first_byte"), F.max("byte_end").alias("last_byte"), F.sha2(whole, 256).alias("digest"))

@@ -38,7 +38,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&\w{1,8};|<!--.*?-->", re.S)
 _ITEM = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+")
 _NO_PROSE = re.compile(r"[ \t]*(?:\||[{\[\"']?\{|\}|\+[-=+]{3,}|[-=~_*]{4,}\s*$|\d{4}-\d\d-\d\d[T ]|\d\d:\d\d:\d\d|\[?(?:INFO|WARN(?:ING)?|ERROR|DEBUG|TRACE|FATAL)\b|Traceback |  File \"|at [\w.$]+\(|[A-Za-z.]*(?:Error|Exception)\b:)")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:def |class \w+[:(]|@\w+|#include|#pragma|import \w+(?:$|\.| as)|from [\w.]+ import|return\b[^.]*;?$|(?:if|for|while|elif|else|try|except|with)\b.*:\s*$|(?:if|for|while|switch) ?\(.*|//|/\*|\*/|namespace |std::|auto |const |#\s)|(?:==|!=|->|::|\+=|&&|\|\|)|\w\(.*\)\s*[;:]?\s*$|^\s*[\w.\[\]]+ = |\w+_\w+\(")
-_ASIDE = re.compile(r"\((?:see|cf\.|approx\.|e\.g\.|i\.e\.)[^()]*(?:\([^()]*\)[^()]*)*\)|\[#?\d+\]|`[^`\n]*`|https?://\S+|[\w./\\-]*/[\w./\\-]+|\b\w+_\w+\b(?:\(\))?|\bv?\d[\d.,]*(?: ?ms| ?%| ?KB| ?MB)?\b")
+_ASIDE = re.compile(r"\((?:see|cf\.|approx\.|e\.g\.|i\.e\.)[^()]*(?:\([^()]*\)[^()]*)*\)|\[#?\d+\]|`[^`\n]*`|https?://\S+|(?<![\w./\\-])[\w.\\-]*+/[\w./\\-]++|\b\w+_\w+\b(?:\(\))?|\bv?\d[\d.,]*(?: ?ms| ?%| ?KB| ?MB)?\b")
 _CODE_SIGNS = re.compile(r"[;{}=&|#@:(/]|^\s*(?:import|return|from|class|def|auto|const|namespace)\b")
 _ASIDE_SIGNS = re.compile(r"[\d_`/]|\((?:see|cf|approx|e\.g|i\.e)")
 _CODE_START = re.compile(r"[ \t]*(?:(?:async )?def \w+ ?\(|class \w+ ?[(:{]|#include|#pragma|/\*|//|template ?<|namespace \w+ ?\{)")
@@ -114,13 +114,11 @@ def _bucket(word: str, memo: dict[str, int] = {}) -> int:  # noqa: B006 - a memo
 
 
 class Lexicon(dict):
-    """What is known of each word, as columns that a text's word numbers select; words beyond ``SIZE`` begin anew."""
+    """What is known of each word, as columns that a text's word numbers select; a text that might not fit begins anew."""
 
-    SIZE = 1 << 18
-
-    def __init__(self, rarity: np.ndarray) -> None:
+    def __init__(self, rarity: np.ndarray, size: int = 1 << 18) -> None:
         super().__init__()
-        self.rarity = rarity
+        self.rarity, self.SIZE = rarity, size
         self.columns = np.zeros((self.SIZE, 7), np.float32)  # length, long, syllables, rarity, rare, connective, subordinate
         self.languages = np.zeros((self.SIZE, len(_SETS)), np.int16)
 
@@ -140,12 +138,11 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
     """The features of a document's running text, None if it has too little of it or not in English."""
     if len(text) < 2 * MIN_WORDS:
         return None
-    if len(lexicon) > lexicon.SIZE // 2:
+    most = len(text) // 2 + 1  # different words it can have
+    if most > lexicon.SIZE:  # a text that could fill the lexicon gets its own
+        lexicon = Lexicon(lexicon.rarity, most)
+    elif len(lexicon) + most > lexicon.SIZE:
         lexicon.clear()
-    if len(text) > 4 * lexicon.SIZE:  # a text that could fill the lexicon gets its own
-        lexicon = Lexicon(lexicon.rarity)
-        lexicon.SIZE = len(text)
-        lexicon.columns, lexicon.languages = np.zeros((len(text), 7), np.float32), np.zeros((len(text), len(_SETS)), np.int16)
     parts = [p for p in map(_WORD.findall, sentences(text)) if p]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     n = int(lengths.sum())

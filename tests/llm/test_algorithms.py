@@ -507,3 +507,30 @@ def test_ordinal_regression_recovers_an_order():
     assert np.mean([m.grade(v) == k for v, k in zip(x[400:], y[400:])]) > 0.8
     one = reading.fit(x[:5], np.array([3] * 5), np.zeros(reading.BUCKETS))
     assert one.grade(x[0]) == 3
+
+
+# --------------------------------------------------------------------------- long odd texts
+
+ODD = ["a" * 1_000_000, "a_" * 500_000, "a/" * 500_000, "Aa" * 500_000, "(see " * 200_000, "-" * 1_000_000, "int f(a) " * 110_000, "a::" * 330_000, "int f() { " + "/* " * 330_000, "def f():\n" + " x = 1\n" * 140_000, "def f():\n  " + '"' * 500_001, "```\n" * 250_000]
+
+
+@pytest.mark.parametrize("text", ODD, ids=range(len(ODD)))
+def test_long_odd_texts_of_other_operators(text):
+    for run in (docpairs.function_at_head, pairs.prose, pairs.pieces, pairs.is_empty, pairs.is_refusal, pairs.left_open, lambda t: reading.features(t, reading.Lexicon(np.zeros(reading.BUCKETS)))):
+        began = time.process_time()
+        run(text)
+        assert time.process_time() - began < 10
+
+
+def test_lexicon_has_room_for_any_text():
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(5)) for k in range(280_000)]
+    lexicon = reading.Lexicon(np.zeros(reading.BUCKETS))
+    for part in (words[:104_000], words[104_000:], words):
+        reading.features(" ".join(part) + ".", lexicon)
+
+
+def test_python_body_ends_with_its_blocks():
+    f = docpairs.function_at_head('def f(a):\n        """Adds one."""\n        if a:\n            x = """\nflush left\n"""\n        return a\n    b = 1\n')
+    assert f.code.endswith("return a\n") and "flush left" in f.code
+    assert docpairs.function_at_head('def f(a): "Adds one."; return a\nx = 2\n').code == "def f(a): ; return a\n"
+    assert docpairs.cc_function("int g(std::function<int(int)> f, int b) const { return f({1}); }\nint x;").parameters == ["f", "b"]
