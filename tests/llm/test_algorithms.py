@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from archspark.llm import bpe, docpairs, leakage, pairs, provenance, reading, secrets, splitting, syntax
