@@ -65,8 +65,11 @@ def format_metrics(ca: int, ce: int, instability: float) -> str:
 
 
 def assemble(request: str, target: str, metrics: dict, dependents: list[str], dependencies: list[str], results: DataFrame, budget: ContextBudget = ContextBudget()) -> AssembledContext:
-    """Context of a request from at most ``limit`` ranked results (a few dozen rows, collected)."""
-    rows = results.orderBy("rank").collect()
+    """Context of a request from at most ``limit`` ranked results (a few dozen rows, collected).
+
+    A formatted chunk beyond ``max_chunk_chars`` is cut; one that finds no place, by characters or by number, is
+    excluded and the budget counts as exhausted.
+    """
     lines = [f"Target: {target}", "Coupling: " + format_metrics(metrics.get("ca", 0), metrics.get("ce", 0), metrics.get("instability", 0.0))]
     for title, paths in (("Dependents", dependents), ("Dependencies", dependencies)):
         if paths:
@@ -77,19 +80,19 @@ def assemble(request: str, target: str, metrics: dict, dependents: list[str], de
     head = "\n".join(lines)
     out = AssembledContext(head)
     used = len(SYSTEM_PROMPT) + len(head)
-    for r in rows:
-        text = r["text"] if len(r["text"]) <= budget.max_chunk_chars else r["text"][: budget.max_chunk_chars] + _CUT
-        mark = f"[{r['rank']}] {r['path']} lines {r['line_start']} to {r['line_end']} {r['qualified_name']} ({format_metrics(r['afferent_coupling'], r['efferent_coupling'], r['instability'])}, relevance {r['score']:.3f})"
-        part = f"{mark}\n~~~\n{text}\n~~~\n"
-        name = f"{r['path']}:{r['line_start']}-{r['line_end']}"
-        if len(out.included) >= budget.max_chunks:
-            out.excluded.append(name)
-        elif used + len(part) > budget.max_total_chars:
-            out.excluded.append(name)
-            out.budget_exhausted = True
-        else:
-            out.prompt += part
-            out.included.append(name)
-            used += len(part)
+    coupling = F.format_string("Ca=%d Ce=%d I=%.2f", "afferent_coupling", "efferent_coupling", F.col("instability").cast("double"))
+    mark = F.format_string("[%d] %s lines %d to %d %s (%s, relevance %.3f)", "rank", "path", "line_start", "line_end", "qualified_name", coupling, F.col("score").cast("double"))
+    part = F.concat(mark, F.lit("\n~~~\n"), "text", F.lit("\n~~~\n"))
+    most = budget.max_chunk_chars
+    part = F.when(F.length(part) > most, F.concat(F.substring(part, 1, most), F.lit(_CUT))).otherwise(part)
+    named = results.select(F.col("rank").cast("string").alias("id"), "rank", F.format_string("%s:%d-%d", "path", "line_start", "line_end").alias("name"), part.alias("part"))
+    items = F.array_sort(F.collect_list(F.struct("rank", "id", "name", "part", F.length("part").alias("size"))))
+    whole = ContextBudget(budget.max_total_chars, budget.max_total_chars, budget.max_chunks)  # the parts are cut already
+    row = named.agg(items.alias("items")).select("items", first_fit(F.col("items"), whole, used).alias("fold")).first()
+    kept = set(row["fold"]["kept"])
+    out.included = [x["name"] for x in row["items"] if x["id"] in kept]
+    out.excluded = [x["name"] for x in row["items"] if x["id"] not in kept]
+    out.prompt += "".join(x["part"] for x in row["items"] if x["id"] in kept)
+    out.budget_exhausted = bool(out.excluded)
     out.total_chars = len(out.prompt)
     return out

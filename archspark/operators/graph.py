@@ -1,11 +1,16 @@
 """Dependency graphs: collapse, degrees, components, layers and bounded reach, all on edge tables.
 
 An edge points from the dependent to what it depends on.  Iterations write each round to the shared folder, so plans
-stay short and lost executors cost one round; no vertex, edge or component is ever gathered in one place.
+stay short and lost executors cost one round.  What is left of a graph once it has at most ``TASK_EDGES`` edges is finished
+by one task of that bounded size, with the same result; larger rests are never gathered in one place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,29 +34,137 @@ def vertices_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("path")).distinct()
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Edges of a graph that one task may hold (some hundred megabytes).
+TASK_EDGES = 1_000_000
+
+
+def _in_one_task(edges: DataFrame, run: Callable[[np.ndarray, np.ndarray, int], np.ndarray], value: str) -> DataFrame:
+    """``name`` and what ``run`` (sources, targets, number of names) gives for each end of a bounded edge table (``a``, ``b``).
+
+    Names are numbered in their order as bytes, so a lesser number is a lesser name.
+    """
+    kind = "string" if value == "component" else "int"
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        a, b = (table[c].combine_chunks().to_pylist() for c in ("a", "b"))
+        names = sorted({*a, *b}, key=str.encode)
+        number = {x: k for k, x in enumerate(names)}
+        found = run(np.fromiter((number[x] for x in a), np.int64, len(a)), np.fromiter((number[x] for x in b), np.int64, len(b)), len(names))
+        keep = np.flatnonzero(found >= 0)
+        column = pa.array([names[k] for k in found[keep]], pa.string()) if kind == "string" else pa.array(found[keep], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.string()), column], ["name", value])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(whole, f"name string, {value} {kind}")
+
+
+def _sorted_edges(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Begin of each vertex's targets, and the targets."""
+    order = np.argsort(a, kind="stable")
+    return np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist()
+
+
+def components_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least member of each vertex's strong component (one depth-first walk with a stack of its own)."""
+    begin, targets = _sorted_edges(a, b, n)
+    seen, low, out = [0] * n, [0] * n, np.full(n, -1, np.int64)
+    open_, path, clock = [], [], 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        path.append((root, begin[root]))
+        clock += 1
+        seen[root] = low[root] = clock
+        open_.append(root)
+        while path:
+            v, at = path.pop()
+            end = begin[v + 1]
+            while at < end:
+                w = targets[at]
+                at += 1
+                if not seen[w]:
+                    path.append((v, at))
+                    clock += 1
+                    seen[w] = low[w] = clock
+                    open_.append(w)
+                    path.append((w, begin[w]))
+                    break
+                if out[w] < 0 and seen[w] < low[v]:
+                    low[v] = seen[w]
+            else:
+                if low[v] == seen[v]:
+                    k = len(open_) - 1
+                    while open_[k] != v:
+                        k -= 1
+                    members = open_[k:]
+                    del open_[k:]
+                    out[members] = min(members)
+                if path:
+                    up = path[-1][0]
+                    low[up] = min(low[up], low[v])
+    return out
+
+
+def cyclic_components_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """As :func:`components_of`, -1 for vertices that are components of their own."""
+    found = components_of(a, b, n)
+    return np.where(np.bincount(found, minlength=n)[found] > 1, found, -1)
+
+
+def layers_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Layer of each vertex: 0 depends on nothing outside its component, k on something of layer k - 1."""
+    name = components_of(a, b, n)
+    a, b = name[a], name[b]
+    links = np.unique(np.stack([b, a], 1)[a != b], axis=0) if (a != b).any() else np.zeros((0, 2), np.int64)
+    begin, users = _sorted_edges(links[:, 0], links[:, 1], n)
+    waits = np.bincount(links[:, 1], minlength=n)
+    layer = np.zeros(n, np.int64)
+    free = np.flatnonzero((waits == 0) & (name == np.arange(n))).tolist()
+    left = waits.tolist()
+    while free:
+        following = []
+        for v in free:
+            for u in users[begin[v] : begin[v + 1]]:
+                layer[u] = max(layer[u], layer[v] + 1)
+                left[u] -= 1
+                if not left[u]:
+                    following.append(u)
+        free = following
+    return layer[name]
+
+
+def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """``path, component`` of the vertices on cycles; a component is named after its least member.
 
-    Rounds of trimming (vertices without in- or out-edges are on no cycle) and of forward-backward colouring: every
+    Graphs of more than ``task_edges`` edges take rounds of trimming (vertices without in- or out-edges are on no cycle) and of forward-backward colouring: every
     vertex takes the least name that reaches it; a colour's component are those of the colour that reach its root.
     Self-loops make components of one.
     """
     pairs = edges.select("source", "target").distinct()
     loops = pairs.where("source = target").select(F.col("source").alias("path"), F.col("source").alias("component"))
     work = durable(pairs.where("source <> target"))
-    before = work.count()
+    after = before = work.count()
     found: list[DataFrame] = []
     while True:
-        while True:  # trim
+        if 0 < after <= task_edges:
+            rest = _in_one_task(work.select(F.col("source").alias("a"), F.col("target").alias("b")), cyclic_components_of, "component")
+            found.append(rest.withColumnRenamed("name", "path"))
+            break
+        while after:  # trim
             kept = work.join(work.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
             kept = durable(kept.join(kept.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
             after = kept.count()
             drop_durable(work)
-            work, done, before = kept, after in (0, before), after
+            work, done, before = kept, after in (0, before) or after <= task_edges, after
             if done:
                 break
         if not after:
             break
+        if after <= task_edges:
+            continue
         colour = durable(vertices_of(work).select("path", F.col("path").alias("colour")))
         while True:  # least name that reaches a vertex
             incoming = work.join(colour.select(F.col("path").alias("source"), "colour"), "source").groupBy(F.col("target").alias("path")).agg(F.min("colour").alias("least"))
@@ -74,7 +187,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found.append(reached.select("path", F.col("colour").alias("component")))
         rest = durable(work.join(reached.select(F.col("path").alias("source")), "source", "left_anti").join(reached.select(F.col("path").alias("target")), "target", "left_anti").select("source", "target"))
         drop_durable(work, inner)
-        work, before = rest, -1
+        work, before, after = rest, -1, rest.count()
     members = None
     for part in found:
         part = part.join(part.groupBy("component").count().where("count > 1").select("component"), "component").select("path", "component")
@@ -116,18 +229,21 @@ def _peel(names: DataFrame, links: DataFrame) -> tuple[DataFrame | None, DataFra
     return (names.select("a", F.lit(0).alias("layer")).limit(0) if done is None else done), None
 
 
-def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def layers(vertices: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """``path, layer``: 0 depends on nothing, k on something of layer k - 1; members of a cycle share a layer.
 
     Each round peels what depends on nothing that is left and keeps the remaining edges only.  Where that comes to
     nothing the rest holds cycles: their components are found in that rest alone, and the condensed graph is peeled.
     """
     names = vertices.select(F.col("path").alias("a")).distinct()
-    links = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct()
+    links = durable(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct())
+    if links.count() <= task_edges:
+        ranked = _in_one_task(links, layers_of, "layer")
+        return names.join(ranked, names["a"] == ranked["name"], "left").select(F.col("a").alias("path"), F.coalesce("layer", F.lit(0)).alias("layer"))
     done, rest = _peel(names, links)
     if rest is None:
         return done.select(F.col("a").alias("path"), "layer")
-    members = durable(strong_components(rest.select(F.col("a").alias("source"), F.col("b").alias("target"))))
+    members = durable(strong_components(rest.select(F.col("a").alias("source"), F.col("b").alias("target")), task_edges))
     name = lambda column: members.select(F.col("path").alias(column), F.col("component").alias(f"{column}_name"))
     named = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_name", "a").alias("a"), F.coalesce("b_name", "b").alias("b"))
     whole = names.join(name("a"), "a", "left").select(F.col("a").alias("path"), F.coalesce("a_name", "a").alias("a"))
@@ -140,14 +256,18 @@ def summary(vertices: DataFrame, edges: DataFrame, with_cycles: bool = True) ->
 
     Each number is an aggregate of its own, and the rows of aggregates are put side by side by one more.
     """
-    number = lambda df, value, name: df.agg(value.cast("bigint").alias("v")).withColumn("name", F.lit(name))
-    ends = degrees(vertices, edges)
+    edges = durable(edges.select("source", "target", "kinds"))
+    vertices = durable(vertices.select("path"))
+
+    def numbers(df: DataFrame, **values) -> DataFrame:
+        one = df.agg(*[v.cast("bigint").alias(k) for k, v in values.items()])
+        return one.select(F.explode(F.array(*[F.struct(F.col(k).alias("v"), F.lit(k).alias("name")) for k in values])).alias("x")).select("x.*")
+
+    number = lambda df, value, name: numbers(df, **{name: value})
     parts = [
-        number(vertices, F.count("*"), "nodes"),
-        number(edges, F.count("*"), "edges"),
-        number(edges, F.count_if(F.array_contains("kinds", "import")), "import_edges"),
-        number(edges, F.count_if(F.array_contains("kinds", "inheritance")), "inheritance_edges"),
-        number(ends, F.count_if((F.col("ca") == 0) & (F.col("ce") == 0)), "isolated"),
+        numbers(vertices, nodes=F.count("*")),
+        numbers(edges, edges=F.count("*"), import_edges=F.count_if(F.array_contains("kinds", "import")), inheritance_edges=F.count_if(F.array_contains("kinds", "inheritance"))),
+        numbers(degrees(vertices, edges), isolated=F.count_if((F.col("ca") == 0) & (F.col("ce") == 0))),
     ]
     names = ["nodes", "edges", "import_edges", "inheritance_edges", "isolated"]
     if with_cycles:
@@ -187,6 +307,7 @@ def blast_radius(vertices: DataFrame, edges: DataFrame, target: str, depth: int
         raise KeyError(target)
     if depth < 1:
         raise ValueError("depth must be at least 1")
+    edges = durable(edges.select("source", "target").distinct())
     both = reach(edges, target, depth, True).withColumn("direction", F.lit("dependents")).unionByName(reach(edges, target, depth, False).withColumn("direction", F.lit("dependencies")))
     totals = both.groupBy("direction").agg(F.count("*").alias("total"))
     parts = []
@@ -205,5 +326,5 @@ def impact_count(radius: DataFrame) -> DataFrame:
 
 def all_paths(radius: DataFrame, target: str) -> DataFrame:
     """``path, rank``: the target, its dependents, its dependencies; each path once, where it stands first."""
-    place = F.when(F.col("direction") == "dependents", F.col("rank")).otherwise(1_000_000 + F.col("rank"))
+    place = F.when(F.col("direction") == "dependents", F.col("rank")).otherwise((1 << 40) + F.col("rank"))  # a radius holds fewer
     return radius.select("path", place.alias("rank")).unionByName(radius.sparkSession.createDataFrame([(target, 0)], "path string, rank int")).groupBy("path").agg(F.min("rank").alias("rank"))

@@ -37,7 +37,7 @@ def _key(a, b, c, d):
 
 
 def cycle_violations(cycles: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    shown = F.array_join(F.slice("members", 1, 5), " -> ")
+    shown = F.array_join(F.slice(F.coalesce("members", F.array("component")), 1, 5), " -> ")
     message = F.concat(F.lit("Dependency cycle of "), F.col("size").cast("string"), F.lit(" files: "), shown, F.when(F.col("size") > 5, " ...").otherwise(""))
     return _rows(cycles, "cycle", 0, ERROR if t.fail_on_cycles else WARNING, F.col("component"), message, F.col("size"), 0.0, *_key(-F.col("size"), F.lit(0), F.col("component"), F.lit("")))
 

@@ -280,14 +280,25 @@ class VectorStore:
         return None if name is None else self.spark.read.parquet(f"{self.folder}/{name}")
 
     def write(self, points: DataFrame) -> None:
-        """A new version, then the pointer to it."""
+        """A new version, then the pointer to it, put in place of the old one at once.
+
+        The version before stays for readers that hold it; older ones are deleted.
+        """
+        before = self.version()
         name = f"v-{uuid.uuid4().hex}"
-        points.repartition("path").write.option("parquet.bloom.filter.enabled#path", "true").parquet(f"{self.folder}/{name}")
+        # a path that holds a third of all points is written by several tasks
+        points.repartition("path", F.pmod(F.xxhash64("point_id"), F.lit(8))).write.option("parquet.bloom.filter.enabled#path", "true").parquet(f"{self.folder}/{name}")
         out = self._fs().create(self._path("CURRENT.new"), True)
         out.write(f"{name}\t{self.embedder_name}\t{self.dimensions}".encode())
         out.close()
-        self._fs().delete(self._path("CURRENT"), False)
-        self._fs().rename(self._path("CURRENT.new"), self._path("CURRENT"))
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        modes = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        modes[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("CURRENT").toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._fs().makeQualified(self._path("CURRENT.new")), self._fs().makeQualified(self._path("CURRENT")), modes)
+        for status in self._fs().listStatus(self._path("")):
+            if status.getPath().getName().startswith("v-") and status.getPath().getName() not in (name, before):
+                self._fs().delete(status.getPath(), True)
 
     def upsert(self, new: DataFrame) -> None:
         bad = new.where(F.size("vector") != self.dimensions)

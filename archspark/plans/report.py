@@ -65,7 +65,7 @@ def metrics_json(report: Report) -> str:
             "modules": _plain(metrics.ranked(report.modules).drop("is_isolated", "is_foundational", "total_coupling")),
             "classes": _plain(cohesion.ranked(report.classes).drop("is_cohesive", "suggested_split", "file_id", "class_id")),
             "violations": _plain(policy.ranked(report.violations)),
-            "cycles": [r["members"] for r in _plain(report.cycles.orderBy(F.desc("size"), "component"))],
+            "cycles": [r["members"] or [r["component"]] for r in _plain(report.cycles.orderBy(F.desc("size"), "component"))],
         },
         indent=2,
         sort_keys=True,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ def extract_source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All extracted nodes, written as snapshots into the shared folder and read again; one row per node kind."""
     nodes = durable(extract.extract(_sources(spark, sf_dir)).where("error is null"))
-    folder = tempfile.mkdtemp(prefix="snapshots-", dir=shared_dir(spark).removeprefix("file://"))
+    folder = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     snapshot.write(nodes, folder)
     back = snapshot.read(spark, folder)
     same = back.select("path", "node_id", "kind", "name", "byte_start", "byte_end", "parent_index").join(nodes.select("path", "node_id", "kind", "name", "byte_start", "byte_end", "parent_index"), ["path", "node_id", "kind", "name", "byte_start", "byte_end", "parent_index"], "left_semi")

@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = given.get() if given.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="archspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

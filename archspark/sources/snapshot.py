@@ -7,15 +7,22 @@ bytes.  Each snapshot file is one partition, decoded as a stream, so a reader ho
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
+import io
+import itertools
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from archspark.sources.files import file_system, list_files
+
 VERSION = 2
 #: The four bytes every snapshot begins with; another writer's can be given as the option ``magic``.
 MAGIC = b"ASTS"
@@ -111,27 +118,42 @@ def encode(files: Iterable[tuple[str, list[tuple]]], f: BinaryIO, magic: bytes =
     return n
 
 
+#: Rows of one batch a reader hands to the engine.
+BATCH_ROWS = 16_384
+_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "tinyint": pa.int8()}
+_ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (column.split() for column in SCHEMA.split(", "))])
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.magic = options["path"], options.get("magic", MAGIC.decode()).encode()
 
     def partitions(self) -> list[InputPartition]:
-        paths = sorted(glob.glob(os.path.join(self.path, "*.bin"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
+        system, path = file_system(self.path)
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            paths = [p for p in list_files(system, path) if p.endswith(".bin")]
+        else:
+            folder, _, pattern = path.rpartition("/")
+            known = system.get_file_info(folder or "/").type == fs.FileType.Directory
+            paths = [p for p in list_files(system, folder or "/") if fnmatch.fnmatchcase(p.rpartition("/")[2], pattern)] if known else []
         if not paths:
             raise FileNotFoundError(self.path)
         for p in paths:  # a wrong header fails before any task starts
-            with open(p, "rb") as f:
+            with io.BufferedReader(system.open_input_file(p)) as f:
                 read_header(f, self.magic)
         return [InputPartition(p) for p in paths]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            for row in decode(f, self.magic):
-                yield (partition.value, *row)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        system, _ = file_system(self.path)
+        with io.BufferedReader(system.open_input_file(partition.value), 1 << 20) as f:
+            rows = decode(f, self.magic)
+            while part := list(itertools.islice(rows, BATCH_ROWS)):
+                columns = [[partition.value] * len(part), *zip(*part)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types)], schema=_ARROW)
 
 
 class SnapshotSource(DataSource):
-    """``spark.read.format("ast_snapshot").load(path)``: a file, a pattern or a folder of ``*.bin`` on a shared disk."""
+    """``spark.read.format("ast_snapshot").load(path)``: a file, a pattern or a folder of ``*.bin`` on any file system."""
 
     @classmethod
     def name(cls) -> str:
@@ -151,29 +173,31 @@ def read(spark: SparkSession, path: str, magic: bytes = MAGIC) -> DataFrame:
 
 def write(nodes: DataFrame, folder: str, partitions: int | None = None, magic: bytes = MAGIC) -> int:
     """One snapshot for each partition of files in a shared folder; returns the number of files written."""
-    os.makedirs(folder, exist_ok=True)
+    system, root = file_system(folder)
+    system.create_dir(root, recursive=True)
     columns = ["path", "node_id", "kind", "name", "byte_start", "byte_end", "first_child_index", "child_count", "parent_index"]
     spread = nodes.select(columns).repartition(*([partitions] if partitions else []), "path").sortWithinPartitions("path", "node_id")
 
-    def run(batches):  # noqa: ANN001, ANN202
-        import uuid
-
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
         first = next(rows, None)
         if first is None:
             return
-        from itertools import chain, groupby
-
-        name = os.path.join(folder, f"part-{uuid.uuid4().hex}.bin")
-        with open(name + ".tmp", "wb") as f:
-            n = encode(((p, [(r[2], r[3] or "", r[4], r[5], r[6] or 0, r[7] or 0, -1 if r[8] is None else r[8]) for r in g]) for p, g in groupby(chain([first], rows), key=lambda r: r[0])), f, magic)
-        os.replace(name + ".tmp", name)  # a task that is run again leaves no half file
+        own, place = file_system(folder)
+        name = f"{place}/part-{uuid.uuid4().hex}.bin"
+        with tempfile.TemporaryFile() as f:  # the header's count is known at the end, and shared streams do not seek back
+            n = encode(((p, [(r[2], r[3] or "", r[4], r[5], r[6] or 0, r[7] or 0, -1 if r[8] is None else r[8]) for r in g]) for p, g in itertools.groupby(itertools.chain([first], rows), key=lambda r: r[0])), f, magic)
+            f.seek(0)
+            with own.open_output_stream(name + ".tmp") as out:
+                while block := f.read(1 << 20):
+                    out.write(block)
+        own.move(name + ".tmp", name)  # a task that is run again leaves no half file
         yield pa.record_batch({"file": [name], "n": [n]})
 
     done = spread.mapInArrow(run, "file string, n bigint").collect()
-    kept = {r["file"] for r in done}
-    for stray in set(glob.glob(os.path.join(folder, "part-*.bin"))) - kept:  # of attempts that were lost after writing
-        os.remove(stray)
+    kept = {r["file"].rpartition("/")[2] for r in done}
+    for path in list_files(system, root):  # of attempts that were lost after or while writing
+        name = path.rpartition("/")[2]
+        if name.startswith("part-") and name not in kept:
+            system.delete_file(path)
     return sum(r["n"] for r in done)

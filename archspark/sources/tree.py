@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from archspark.functions.names import EXCLUDED_DIRECTORIES, in_excluded_directory, language_of_extension
+from archspark.sources.files import file_system
 
 SCHEMA = "path string, language string, content binary, error string"
 _CPP, _PYTHON = (".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx", ".h"), (".py", ".pyi")
@@ -26,10 +29,19 @@ def is_excluded(name: str) -> bool:
 
 def walk(root: str) -> list[str]:
     """Relative paths of source files; excluded folders are not entered, unreadable ones are skipped."""
-    found = []
-    for folder, inner, names in os.walk(root):
-        inner[:] = sorted(d for d in inner if not is_excluded(d))
-        found += [os.path.relpath(os.path.join(folder, n), root).replace(os.sep, "/") for n in names if language_of(n)]
+    system, top = file_system(root)
+    found, folders = [], [top]
+    while folders:
+        try:
+            inner = system.get_file_info(fs.FileSelector(folders.pop()))
+        except OSError:
+            continue
+        for x in inner:
+            if x.type == fs.FileType.Directory:
+                if not is_excluded(x.base_name):
+                    folders.append(x.path)
+            elif language_of(x.path):
+                found.append(x.path[len(top.rstrip("/")) + 1 :])
     return sorted(found)
 
 
@@ -41,17 +53,34 @@ class _Reader(DataSourceReader):
         paths = walk(self.root)
         return [InputPartition(paths[i : i + self.files]) for i in range(0, len(paths), self.files)] or [InputPartition([])]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(self.root)
+        held: list[tuple] = []
+        size = 0
         for path in partition.value:
             try:
-                with open(os.path.join(self.root, path), "rb") as f:
-                    yield path, language_of(path), f.read(), None
+                with system.open_input_stream(f"{top.rstrip('/')}/{path}") as f:
+                    held.append((path, language_of(path), f.read(), None))
             except OSError as e:  # the file counts as failed, the scan goes on
-                yield path, language_of(path), None, str(e)
+                held.append((path, language_of(path), None, str(e)))
+            size += len(held[-1][2] or b"")
+            if size > BATCH_BYTES:
+                yield _batch(held)
+                held, size = [], 0
+        yield _batch(held)
+
+
+#: Bytes of source after which a reader hands a batch to the engine.
+BATCH_BYTES = 16 << 20
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = ("path", "language", "content", "error"), (pa.string(), pa.string(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(names))
 
 
 class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(root)``: the sources under a folder on a shared disk."""
+    """``spark.read.format("source_tree").load(root)``: the sources under a folder on any file system."""
 
     @classmethod
     def name(cls) -> str:

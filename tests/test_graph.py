@@ -1,5 +1,7 @@
 """Graph operators, metrics and policy on small graphs with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ def table(spark, *pairs, alone=()):
 
 
 def test_instability(spark):
-    cases = [((0, 0), 0), ((5, 0), 0), ((0, 5), 1), ((5, 5), 0.5), ((1, 3), 0.75), ((3, 1), 0.25), ((2, 8), 0.8)]
+    rng = random.Random(17)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)] + [(0, 0)]
+    cases = [((a, e), e / (a + e) if a + e else 0) for a, e in pairs]
     df = spark.createDataFrame([(a, b) for (a, b), _ in cases], "ca int, ce int")
     assert [r[0] for r in df.select(instability(F.col("ca"), F.col("ce"))).collect()] == [x for _, x in cases]
 
@@ -86,3 +90,40 @@ def test_impact_count(spark):
     many = table(spark, *[(f"d{k:03}", "hub") for k in range(30)])
     r = graph.impact_count(graph.blast_radius(*many, "hub", max_dependents=10)).first()
     assert (r.reachable, r.kept, r.truncated) == (30, 10, True)
+
+
+def brute_components(pairs):
+    names = sorted({x for p in pairs for x in p})
+    ahead = {n: {n} for n in names}
+    for _ in names:
+        for a, b in pairs:
+            ahead[a] |= ahead[b]
+    return {n: min(m for m in names if m in ahead[n] and n in ahead[m]) for n in names}, ahead
+
+
+def test_one_task_and_rounds_agree_with_brute_force(spark):
+    rng = random.Random(8)
+    for size, links in ((7, 9), (12, 16), (25, 30)):
+        pairs = sorted({(f"v{rng.randrange(size):02}", f"v{rng.randrange(size):02}") for _ in range(links)})
+        name, _ = brute_components(pairs)
+        vertices, edges = table(spark, *pairs, alone=("zz",))
+        loops = {a for a, b in pairs if a == b}
+        sizes = {c: sum(x == c for x in name.values()) for c in name.values()}
+        expected = {(v, c) for v, c in name.items() if sizes[c] > 1} | {(v, v) for v in loops if sizes[name[v]] == 1}
+        condensed = {(name[a], name[b]) for a, b in pairs if name[a] != name[b]}
+        level = dict.fromkeys(name.values(), 0)
+        for _ in level:
+            for a, b in condensed:
+                level[a] = max(level[a], level[b] + 1)
+        for task_edges in (graph.TASK_EDGES, 0):
+            assert {(r.path, r.component) for r in graph.strong_components(edges, task_edges).collect()} == expected
+            assert {r.path: r.layer for r in graph.layers(vertices, edges, task_edges).collect()} == {v: level[c] for v, c in name.items()} | {"zz": 0}
+
+
+def test_long_rings_and_chains(spark):
+    n = 20_000
+    ring = spark.range(n).select(F.format_string("r%06d", "id").alias("source"), F.format_string("r%06d", (F.col("id") + 1) % n).alias("target"))
+    found = graph.strong_components(ring).groupBy("component").count().collect()
+    assert [(r.component, r["count"]) for r in found] == [("r000000", n)]
+    chain = ring.where("target <> 'r000000'")
+    assert graph.layers(graph.vertices_of(chain), chain).agg(F.max("layer"), F.count("*")).first() == (n - 1, n)
