@@ -34,7 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archspark.session import drop_durable, durable
@@ -175,25 +176,41 @@ def rank_batch(file: np.ndarray, node: np.ndarray, parent: np.ndarray, given: np
     return {"file": file, "node": node, "parent_row": up, "entry": entry, "exit": leaving, "depth": depth, "root": root, "state": state}
 
 
-def _paths(node: np.ndarray, parent_row: np.ndarray, depth: np.ndarray, ok: np.ndarray) -> pa.Array:
-    """Node ids from the root, joined by '/'; built level by level so each path is one concatenation."""
-    n = len(node)
-    out = np.full(n, None, object)
-    names = node.astype(str).astype(object)
+#: Bytes of paths after which a task hands over a batch; the paths of a chain of n nodes take n * n / 2 ids.
+PATH_BYTES = 32 << 20
+
+
+def _path_batches(node: np.ndarray, depth: np.ndarray, root: np.ndarray, entry: np.ndarray, ok: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Rows and their node ids from the root, joined by '/' (null where not ``ok``), in batches of bounded bytes.
+
+    Nodes are taken in the order of their entries, so the ids above a node are a stack and only that is held.
+    """
+    lost = np.flatnonzero(~ok)
+    if len(lost):
+        yield lost, pa.nulls(len(lost), pa.string())
     rows = np.flatnonzero(ok)
-    rows = rows[np.argsort(depth[rows], kind="stable")]
-    cuts = np.flatnonzero(np.r_[True, depth[rows][1:] != depth[rows][:-1], True]) if len(rows) else np.zeros(1, np.int64)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        level = rows[a:b]
-        up = parent_row[level]
-        out[level] = names[level] if depth[level[0]] == 0 else out[up] + "/" + names[level]
-    return pa.array(out, pa.string())
+    rows = rows[np.lexsort((entry[rows], root[rows]))]
+    names, depths = node[rows].astype(str).tolist(), depth[rows].tolist()
+    stack: list[str] = []
+    out: list[str] = []
+    size = start = 0
+    for k, (name, d) in enumerate(zip(names, depths)):
+        del stack[d:]
+        stack.append(name)
+        path = "/".join(stack)
+        out.append(path)
+        size += len(path)
+        if size >= PATH_BYTES:
+            yield rows[start : k + 1], pa.array(out, pa.string())
+            out, size, start = [], 0, k + 1
+    if out:
+        yield rows[start:], pa.array(out, pa.string())
 
 
 def _kernel(with_paths: bool, only_lost: bool):
     """Ranks the trees of partitions sorted by tree."""
 
-    def run(table: pa.Table) -> pa.RecordBatch:
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         col = lambda name, null: pc.fill_null(table[name], null).combine_chunks().to_numpy(zero_copy_only=False)
         given = table["parent_index"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
         r = rank_batch(col("file_id", 0), col("node_id", 0), col("parent_index", -1), given, col("first_child_index", 0), col("child_count", 0))
@@ -214,15 +231,23 @@ def _kernel(with_paths: bool, only_lost: bool):
             "exit": null(r["exit"][keep], ~ok, pa.int64()),
             "descendants": null((r["exit"][keep] - r["entry"][keep] - 1) // 2, cyclic, pa.int64()),
         }
-        if with_paths:
-            columns["path"] = _paths(r["node"], r["parent_row"], r["depth"], r["state"] == _OK)
-        return pa.record_batch(columns)
+        whole = pa.record_batch(columns)
+        if not with_paths:
+            yield whole
+            return
+        cut = {k: r[k][keep] for k in ("node", "depth", "root", "entry")}
+        for rows, paths in _path_batches(*cut.values(), ok):
+            yield pa.RecordBatch.from_arrays([*whole.take(pa.array(rows)).columns, paths], [*columns, "path"])
 
     return by_tree(run)
 
 
 def by_tree(run):
-    """mapInArrow function over partitions sorted by ``file_id``: ``run`` gets tables that hold whole trees only."""
+    """mapInArrow function over partitions sorted by ``file_id``: ``run`` gets tables that hold whole trees only and gives
+    a batch or several."""
+
+    def all_of(found: pa.RecordBatch | Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return iter((found,)) if isinstance(found, pa.RecordBatch) else found
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -237,10 +262,10 @@ def by_tree(run):
                 continue
             at = int(np.searchsorted(files, files[-1]))  # the last tree may go on in the next batch
             held[-1] = batch.slice(0, at)
-            yield run(pa.Table.from_batches(held))
+            yield from all_of(run(pa.Table.from_batches(held)))
             held, rows = [batch.slice(at)], batch.num_rows - at
         if held:
-            yield run(pa.Table.from_batches(held))
+            yield from all_of(run(pa.Table.from_batches(held)))
 
     return split
 
@@ -272,6 +297,44 @@ def _jump(base: DataFrame, rounds: int, with_paths: bool) -> DataFrame:
     return hop
 
 
+def _next_siblings(forest: DataFrame) -> DataFrame:
+    """``file_id, node_id, sibling`` of the nodes of ``forest`` (``file_id, node_id, up``) that have a next sibling.
+
+    Nodes are sorted over all partitions by range, so a parent of any width is shared among tasks; only the first and the
+    last node of each partition meet on the driver.
+    """
+    ends = ["file_id", "up", "node_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last = None
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], ["file_id", "up", "node_id", "sibling", "part", "place"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, up, node = (batch[c].to_numpy() for c in ends)
+            if last is None:
+                yield rows([(int(file[0]), int(up[0]), int(node[0]), None, part, 0)])
+            elif last[:2] == (file[0], up[0]):
+                yield rows([(int(last[0]), int(last[1]), int(last[2]), int(node[0]), None, None)])
+            at = np.flatnonzero((file[1:] == file[:-1]) & (up[1:] == up[:-1]))
+            empty = pa.nulls(len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(file[at], pa.int64()), pa.array(up[at], pa.int32()), pa.array(node[at], pa.int32()), pa.array(node[at + 1], pa.int32()), empty, empty], ["file_id", "up", "node_id", "sibling", "part", "place"])
+            last = (file[-1], up[-1], node[-1])
+        if last is not None:
+            yield rows([(int(last[0]), int(last[1]), int(last[2]), None, part, 1)])
+
+    placed = forest.where("up is not null").select(*ends).repartitionByRange(*ends).sortWithinPartitions(*ends)
+    found = durable(placed.mapInArrow(run, "file_id bigint, up int, node_id int, sibling int, part int, place int"))
+    edges = found.where("part is not null").orderBy("part", "place").collect()  # two rows a partition
+    bridges = [(a["file_id"], a["node_id"], b["node_id"]) for a, b in zip(edges[1::2], edges[2::2]) if (a["file_id"], a["up"]) == (b["file_id"], b["up"])]
+    inner = found.where("part is null").select("file_id", "node_id", "sibling")
+    return inner.unionByName(forest.sparkSession.createDataFrame(bridges, "file_id bigint, node_id int, sibling int"))
+
+
 def _large(nodes: DataFrame, with_paths: bool, bound: int) -> DataFrame:
     """Pointer jumping by joins; ``bound`` is at least the number of rows of the largest tree."""
     value = F.struct(F.col("parent_index").isNull().alias("z"), "parent_index", "first_child_index", "child_count")
@@ -304,8 +367,7 @@ def _large(nodes: DataFrame, with_paths: bool, bound: int) -> DataFrame:
     # Euler tour of what is left when cycle edges are cut, ranked by doubling over its arcs (2 * node: down, + 1: up)
     cut = F.col("parent").isNull() | F.col("missing") | (F.col("state") == "in_cycle")
     forest = out.select("file_id", "node_id", F.when(~cut, F.col("parent")).alias("up"))
-    siblings = Window.partitionBy("file_id", "up").orderBy("node_id")
-    nexts = forest.withColumn("sibling", F.when(F.col("up").isNotNull(), F.lead("node_id").over(siblings)))
+    nexts = forest.join(_next_siblings(forest), ["file_id", "node_id"], "left")
     firsts = forest.where("up is not null").groupBy("file_id", F.col("up").alias("node_id")).agg(F.min("node_id").alias("child"))
     arcs = nexts.join(firsts, ["file_id", "node_id"], "left").withColumn("node_id", F.col("node_id").cast("bigint"))
     down = F.struct((2 * F.col("node_id")).alias("arc"), F.coalesce(2 * F.col("child"), 2 * F.col("node_id") + 1).alias("j"))

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from archspark.operators import hierarchy as hierarchy_module
+
 from archspark.operators.hierarchy import descendants_of, hierarchy
 
 SCHEMA = "file_id bigint, node_id int, parent_index int, first_child_index bigint, child_count bigint"
@@ -106,3 +108,15 @@ def test_descendants(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     pairs = descendants_of(hierarchy(df), spark.createDataFrame([(1, 0), (1, 1)], "file_id bigint, node_id int"))
     assert {(r.ancestor_id, r.node_id) for r in pairs.collect()} == {(0, 1), (0, 2), (0, 3), (1, 2)}
+
+
+def test_paths_of_a_long_chain_come_in_bounded_batches():
+    import numpy as np
+
+    n = 6000
+    node = np.arange(n)
+    seen, largest = 0, 0
+    for rows, paths in hierarchy_module._path_batches(node, node, np.zeros(n, int), node, np.ones(n, bool)):
+        assert paths[0].as_py().rpartition("/")[2] == str(rows[0])
+        seen, largest = seen + len(rows), max(largest, paths.nbytes)
+    assert seen == n and largest < 2 * hierarchy_module.PATH_BYTES
