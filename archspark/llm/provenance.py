@@ -3,9 +3,11 @@
 Each file's statements (lines, and the parts of long lines) become tokens in which numbers and very short names are
 alike; Re-Pair infers a grammar over them by replacing its most frequent pairs by rules until no pair repeats.
 
-* High rule reuse (few symbols left for the statements derived) flags machine-made text: accessors after a template,
-  minified statements.  Comments at the head that name a generator do so too.
-* A file that is nearly all literals, whose own characters do not compress, and that holds no logic is a data blob.
+* High rule reuse (few symbols left for what is derived) flags machine-made text: over statements, generated code
+  (accessors after a template); over tokens with very short names alike, minified code.  Comments at the head that name
+  a generator flag a file too.
+* A file that is nearly all literals, whose characters a Re-Pair grammar hardly shortens, and that holds no logic is a
+  data blob.
 * Phrases of whole lines (stretches of the corpus' grammar) that stand in several repositories are counted over all
   files by one pre-aggregated shuffle; a file mostly derived from such shared rules is a third party's copy, wherever it
   lies.  A vendor folder or an upstream notice at the head flags the rest.
@@ -18,9 +20,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,16 +37,21 @@ SHARED = 0.6
 REUSE = 1.25
 #: Least statements for that, so that a few alike lines make no machine.
 STATEMENTS = 15
+#: Tokens derived per symbol left, with names of at most two characters alike, from which code is minified, and the share
+#: of such names among all names from which that grammar is inferred at all.
+TOKEN_REUSE, SHORT_NAMES = 3.5, 0.5
+#: Symbols a Re-Pair grammar of the literals leaves per character from which they count as incompressible.
+LITERAL_SIZE = 0.2
 #: Lines of a phrase at most, and its least characters.
 PHRASE_LINES, PHRASE_CHARS = 24, 60
 
 _NUMBER = re.compile(r"0[xX][\da-fA-F]+|\d+")
-_SHORT = re.compile(r"\b[A-Za-z_]\w?\b")
+_TOKEN = re.compile(r"[A-Za-z_]\w*+|\d[\w.]*+|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[^\s\w]")
 _LITERAL = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?<![\w.])-?(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)[fFuUlL]*(?![\w.])", re.S)
 _NAME = re.compile(r"[A-Za-z_]\w*")
 _PACKED = re.compile(r"[A-Za-z0-9+/=]{40,}|(?:0[xX][\da-fA-F]+|-?\d+(?:\.\d+)?),")
 _LOGIC = re.compile(r"\b(?:def|return|if|for|while|switch|lambda)\b|\)\s*(?:const\s*)?\{")
-_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|#[^\n]*", re.S)
+_COMMENT = re.compile(r"//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?+|#[^\n]*+")
 _HEAD = re.compile(r"(?:\s*(?://[^\n]*|/\*.*?\*/|#(?!\s*(?:include|pragma|define|if|ifdef|ifndef)\b)[^\n]*|\"\"\".*?\"\"\"|'''.*?'''|#pragma once))*", re.S)
 #: Notices of generators, of upstreams, and folders of third parties.
 _GENERATED_NOTICE = re.compile(
@@ -52,7 +59,7 @@ _GENERATED_NOTICE = re.compile(
     r"(?:changes|manual changes|edits) (?:will be|are) (?:lost|overwritten)|wurde von \S+ (?:erzeugt|generiert)|g[eé]n[eé]r[eé] (?:par|automatiquement)|generado (?:por|autom)",
     re.I,
 )
-_UPSTREAM_NOTICE = re.compile(r"^\W*upstream:|\bvendored (?:from|copy)|copyright (?:\(c\) )?(?:\d+ )?(?:the )?[\w.\- ]+ contributors\b|redistribution (?:and use )?(?:in source|permitted)|^\W*[a-z][\w\-]+ (?:version \d+\.\d+(?:\.\d+)?|r\d{2,})\s*$", re.I | re.M)
+_UPSTREAM_NOTICE = re.compile(r"^[^\w\n]*upstream:|\bvendored (?:from|copy)|copyright (?:\(c\) )?(?:\d+ )?(?:the )?[\w.\- ]+ contributors\b|redistribution (?:and use )?(?:in source|permitted)|^[^\w\n]*[a-z][\w\-]+ (?:version \d+\.\d+(?:\.\d+)?|r\d{2,})\s*$", re.I | re.M)
 _VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|vendored|third[_-]?party|3rd[_-]?party|external|extern|deps|site-packages|node_modules|bower_components)/", re.I)
 _GENERATED_PATH = re.compile(r"(?:_pb2|_pb2_grpc|\.pb|_generated|\.generated|_gen|\.gen|\.g)\.\w+$|(?:^|/)moc_\w+\.\w+$|(?:^|/)ui_\w+_gen\.\w+$", re.I)
 
@@ -75,37 +82,43 @@ def repair(tokens: list) -> tuple[int, int]:
     Each round replaces all pairs at least half as frequent as the most frequent one, so rounds stay logarithmic.
     """
     names: dict = {}
-    seq = [names.setdefault(t, len(names)) for t in tokens]
+    seq = np.fromiter((names.setdefault(t, len(names)) for t in tokens), np.int64, len(tokens))
     rules, fresh = 0, len(names)
     while len(seq) > 1:
-        pairs = Counter(zip(seq, seq[1:]))
-        top = max(pairs.values())
+        pairs, place, counts = np.unique(seq[:-1] * fresh + seq[1:], return_inverse=True, return_counts=True)
+        top = int(counts.max())
         if top < 2:
             break
-        least = max(2, top // 2)
-        made: dict = {}
-        out, i, n = [], 0, len(seq) - 1
-        while i < n:
-            pair = (seq[i], seq[i + 1])
-            if pairs[pair] >= least:
-                symbol = made.get(pair)
-                if symbol is None:
-                    symbol = made[pair] = fresh
-                    fresh += 1
-                out.append(symbol)
-                i += 2
-            else:
-                out.append(seq[i])
-                i += 1
-        if i == n:
-            out.append(seq[n])
+        hit = counts[place] >= max(2, top // 2)
+        # of pairs that overlap the left one is taken: every second of a run of neighbouring places
+        at = np.arange(len(hit))
+        begun = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], at, 0))
+        taken = np.flatnonzero(hit & ((at - begun) % 2 == 0))
+        made, symbol = np.unique(place[taken], return_inverse=True)
         rules += len(made)
-        if len(out) + 2 * len(made) >= len(seq) + 2 * len(made):
+        if not len(taken):
             break
-        seq = out
+        seq[taken] = fresh + symbol
+        seq = np.delete(seq, taken + 1)
+        fresh += len(made)
     return len(seq) + 2 * rules, rules
 
 
+def tokens(text: str) -> list[str]:
+    """Tokens of the code without comments, in which numbers, strings and names of at most two characters are alike."""
+    out = []
+    for w in _TOKEN.findall(_COMMENT.sub(" ", text)):
+        c = w[0]
+        if c.isdigit():
+            w = "0"
+        elif c in "\"'" and len(w) > 1:
+            w = "s"
+        elif len(w) <= 2 and (c.isalpha() or c == "_"):
+            w = "v"
+        out.append(w)
+    return out
+
+
 def features(path: str, text: str) -> dict[str, float]:
     """What one file tells by itself."""
     n = len(text)
@@ -115,16 +128,20 @@ def features(path: str, text: str) -> dict[str, float]:
     words = _NAME.findall(bare)
     head = _HEAD.match(text)[0]
     values = "".join(_PACKED.findall(text))
+    packed = len(values) / n if n else 0.0
+    short = sum(len(w) <= 2 for w in words) / len(words) if words else 0.0
+    symbols = tokens(text) if short >= SHORT_NAMES else []
+    density = 1000 * len(words) / n if n else 0.0
     return {
+        "short_names": short,
+        "token_reuse": len(symbols) / repair(symbols)[0] if symbols else 0.0,
         "statements": len(code),
         "reuse": len(code) / size if size else 0.0,
         "rules": rules,
-        "words": 1000 * len(words) / n if n else 0.0,
-        "packed": len(values) / n if n else 0.0,
-        "packed_ratio": len(zlib.compress(values.encode(), 1)) / len(values) if values else 0.0,
+        "words": density,
+        "packed": packed,
+        "literal_size": repair(list(values))[0] / len(values) if packed > 0.4 and density < 3 else 0.0,
         "logic": float(bool(_LOGIC.search(bare))),
-        "line": n / (text.count("\n") + 1),
-        "name": sum(map(len, words)) / len(words) if words else 0.0,
         "generated_notice": float(bool(_GENERATED_NOTICE.search(head))),
         "upstream_notice": float(bool(_UPSTREAM_NOTICE.search(head))),
         "vendor_dir": float(bool(_VENDOR_DIR.search(path))),
@@ -135,10 +152,10 @@ def features(path: str, text: str) -> dict[str, float]:
 def cause(path: str, text: str) -> str | None:
     """Why a file is not hand-written, as far as it alone can tell."""
     f = features(path, text)
-    if f["line"] > 150 and f["name"] < 2.2:
-        return "minified"
-    if f["words"] < 3 and not f["logic"] and f["packed"] > 0.4 and f["packed_ratio"] > 0.3:
+    if not f["logic"] and f["literal_size"] >= LITERAL_SIZE:
         return "blob"
+    if f["token_reuse"] >= TOKEN_REUSE and f["statements"] >= STATEMENTS:
+        return "minified"
     if f["generated_notice"] or f["reuse"] >= REUSE and f["statements"] >= STATEMENTS:
         return "generated"
     if f["vendor_dir"] or f["upstream_notice"]:

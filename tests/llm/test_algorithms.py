@@ -444,6 +444,26 @@ def test_repair_is_a_grammar_of_its_input():
         assert 0 <= provenance.repair(tokens)[0] <= max(1, len(tokens)) + 2 * provenance.repair(tokens)[1]
 
 
+@pytest.mark.parametrize("text", ["/* " * 330_000, "#\n" * 500_000, "a" * 1_000_000, "// x\n" * 200_000, '"' * 1_000_000, "a=1;" * 250_000, "0x1f," * 200_000], ids=range(7))
+def test_long_odd_files(text):
+    began = time.process_time()
+    provenance.cause("a/b.cc", text)
+    list(provenance.phrases(text))
+    assert time.process_time() - began < 15
+
+
+def test_the_grammar_decides():
+    """Without rule reuse and literal size nothing is minified, blob or generated by itself."""
+    rng = random.Random(6)
+    hexes = "class B:\n    B = [\n" + "".join("        " + " ".join(f"0x{rng.randrange(256):02x}," for _ in range(12)) + "\n" for _ in range(80)) + "    ]\n"
+    zeros = "class B:\n    B = [\n" + "".join("        " + " ".join("0x00," for _ in range(12)) + "\n" for _ in range(80)) + "    ]\n"
+    assert provenance.features("a.py", hexes)["literal_size"] > provenance.LITERAL_SIZE > provenance.features("a.py", zeros)["literal_size"] > 0
+    small = "def g(a,b):" + ";".join(f"a=b+{k};q=[z for z in a if z>{k}]" for k in range(90))
+    assert provenance.features("a.py", small)["token_reuse"] >= provenance.TOKEN_REUSE
+    varied = "\n".join(f"{rng.choice('abcdefgh')} = {rng.choice('ijklmnop')} {rng.choice('+-*/|&^%')} {rng.choice(['f(x)', '[y]', '{z: 1}', 'not w', 'u.v', '-t'])}" for _ in range(8))
+    assert provenance.features("a.py", varied)["token_reuse"] < provenance.TOKEN_REUSE
+
+
 def test_causes():
     hand = open(provenance.__file__, encoding="utf-8").read()
     assert provenance.cause("a/b.py", hand.replace("generated", "made")) is None
