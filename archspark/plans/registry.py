@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archspark.plans import code_queries, graph_queries, hierarchy_queries, source_queries
+from archspark.plans import audit_queries, code_queries, graph_queries, hierarchy_queries, source_queries
 
-MODULES = (graph_queries, code_queries, source_queries, hierarchy_queries)
+MODULES = (graph_queries, audit_queries, code_queries, source_queries, hierarchy_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
