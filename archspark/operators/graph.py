@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def vertices_of(edges: DataFrame) -> DataFrame:
 
 
 #: Edges of a graph that one task may hold (some hundred megabytes).
-TASK_EDGES = 1_000_000
+TASK_EDGES = 2_000_000
 
 
 def _in_one_task(edges: DataFrame, run: Callable[[np.ndarray, np.ndarray, int], np.ndarray], value: str) -> DataFrame:
@@ -50,13 +51,17 @@ def _in_one_task(edges: DataFrame, run: Callable[[np.ndarray, np.ndarray, int],
         if not held:
             return
         table = pa.Table.from_batches(held)
-        a, b = (table[c].combine_chunks().to_pylist() for c in ("a", "b"))
-        names = sorted({*a, *b}, key=str.encode)
-        number = {x: k for k, x in enumerate(names)}
-        found = run(np.fromiter((number[x] for x in a), np.int64, len(a)), np.fromiter((number[x] for x in b), np.int64, len(b)), len(names))
+        n = table.num_rows
+        ends = pa.chunked_array([*table["a"].chunks, *table["b"].chunks]).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(ends.dictionary)
+        names = ends.dictionary.take(order)
+        number = np.empty(len(names), np.int64)
+        number[order.to_numpy()] = np.arange(len(names))
+        codes = number[ends.indices.to_numpy()]
+        found = run(codes[:n], codes[n:], len(names))
         keep = np.flatnonzero(found >= 0)
-        column = pa.array([names[k] for k in found[keep]], pa.string()) if kind == "string" else pa.array(found[keep], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.string()), column], ["name", value])
+        column = names.take(pa.array(found[keep])) if kind == "string" else pa.array(found[keep], pa.int32())
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(keep)), column], ["name", value])
 
     return edges.select("a", "b").repartition(1).mapInArrow(whole, f"name string, {value} {kind}")
 
@@ -256,9 +261,6 @@ def summary(vertices: DataFrame, edges: DataFrame, with_cycles: bool = True) ->
 
     Each number is an aggregate of its own, and the rows of aggregates are put side by side by one more.
     """
-    edges = durable(edges.select("source", "target", "kinds"))
-    vertices = durable(vertices.select("path"))
-
     def numbers(df: DataFrame, **values) -> DataFrame:
         one = df.agg(*[v.cast("bigint").alias(k) for k, v in values.items()])
         return one.select(F.explode(F.array(*[F.struct(F.col(k).alias("v"), F.lit(k).alias("name")) for k in values])).alias("x")).select("x.*")
