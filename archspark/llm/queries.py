@@ -9,26 +9,22 @@ from archspark.llm import bpe, docpairs, leakage, pairs, provenance, reading, se
 from archspark.session import table
 
 
-def _secret_model(spark: SparkSession, sf_dir: str):
-    """Both tables and the model trained on a bounded sample of each."""
+def _gathered(spark: SparkSession, sf_dir: str, with_texts: bool = False) -> DataFrame:
+    """Both tables read once: the candidates of every text."""
     index, requests = table(spark, sf_dir, "chunk_index"), table(spark, sf_dir, "requests")
-    return index, requests, secrets.learn([(index, "point_id", "text", "path"), (requests, "id", "prompt", None)])
+    return secrets.gather([("chunk_index", index, "point_id", "text", "path"), ("requests", requests, "id", "prompt", None)], with_texts)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every credential in the indexed chunks and in the prompts."""
-    index, requests, model = _secret_model(spark, sf_dir)
-    a = secrets.find(index, model, id_column="point_id", text_column="text", path_column="path").withColumn("tbl", F.lit("chunk_index"))
-    b = secrets.find(requests, model, id_column="id", text_column="prompt").withColumn("tbl", F.lit("requests"))
-    return a.unionByName(b).select("tbl", "row_id", "secret")
+    read = _gathered(spark, sf_dir)
+    return secrets.found_in(read, secrets.learn_from(read))
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both texts of every row with the credentials masked."""
-    index, requests, model = _secret_model(spark, sf_dir)
-    a = secrets.redacted(index, model, id_column="point_id", text_column="text", path_column="path").withColumn("tbl", F.lit("chunk_index"))
-    b = secrets.redacted(requests, model, id_column="id", text_column="prompt").withColumn("tbl", F.lit("requests"))
-    return a.unionByName(b).select("tbl", "row_id", "text").dropDuplicates(["tbl", "row_id"])
+    read = _gathered(spark, sf_dir, with_texts=True)
+    return secrets.redacted_in(read, secrets.learn_from(read)).dropDuplicates(["tbl", "row_id"])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

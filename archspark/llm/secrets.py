@@ -5,9 +5,10 @@ a command, after a scheme or a word for access, in a vendor's format, and privat
 scores each from the character Markov likelihood of the value under the corpus' ordinary words, its shape, the identifiers
 before it in its statement and the file's path.  Its weights begin at nothing and are learned from weak labels: patterns
 that are surely credentials (vendor formats, private keys, logins in URLs, random values under secret names) and surely
-none (placeholders, digests, public keys, plain words), found in a bounded sample of texts and in some made-up ones; other
-candidates are left to the model.  A held-out part calibrates the scores (Platt).  Values that score at least 0.5 are
-reported and can be masked exactly, leaving the rest of the text as it is.
+none (placeholders, digests, public keys, plain words), found in all texts and in some made-up ones; other candidates are
+left to the model.  Tasks sum up the likelihood's counts and the steps of the regression over every candidate, so only
+sums of a fixed size come to the driver.  A held-out part calibrates the scores (Platt).  Values that score at least 0.5
+are reported and can be masked exactly, leaving the rest of the text as it is.
 
 Defined cases: null texts and null keys give nothing; rows repeated count once; texts, values and identifiers of any length
 are read whole; values of fewer than four characters are no candidates; what stands between two quotes on a line is one
@@ -24,7 +25,7 @@ import random
 import re
 import string
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,10 +38,8 @@ from pyspark.sql import functions as F
 from archspark.llm.text import least_by_hash, spread
 from archspark.session import drop_durable, durable
 
-#: Texts of the sample the model is trained on, for each table.
-TRAIN_TEXTS = 4_000
-#: Weakly labelled candidates of the sample the model is fitted to at most (those of least hash).
-TRAIN_CANDIDATES = 20_000
+#: Weakly labelled candidates a task of the regression takes, about; there are as many tasks as they need.
+LESSONS_OF_A_TASK = 50_000
 #: Calibrated score from which a value is reported.
 THRESHOLD = 0.5
 _BUCKETS = 64
@@ -265,7 +264,9 @@ _PLAIN = re.compile(r"[A-Za-z_]{3,}\d{0,3}")
 def transitions(text: str) -> np.ndarray:
     """Counts of the steps from character to character within the ordinary words of a text (0: begin and end)."""
     codes = _CODE_OF[np.frombuffer(("\n" + "\n".join(m for m in _PLAIN.findall(text) if len(m) <= 40) + "\n").encode("latin-1", "replace"), np.uint8)].astype(np.int64)
-    return np.bincount(codes[:-1] * _CODES + codes[1:], minlength=_CODES * _CODES).reshape(_CODES, _CODES).astype(float)
+    counts = np.bincount(codes[:-1] * _CODES + codes[1:], minlength=_CODES * _CODES).reshape(_CODES, _CODES).astype(float)
+    counts[0, 0] = 0.0  # a text without words counts nothing, so that texts can be counted together
+    return counts
 
 
 class Markov:
@@ -379,9 +380,17 @@ def _numbers(c: Candidate, markov: Markov) -> list[float]:
     return numbers_of([c.value], markov)[0].tolist()
 
 
-def _hashed(c: Candidate) -> list[int]:
+def _hashed(c: Candidate) -> int:
+    """The buckets of the names, as the bits of a signed number."""
     names = {"k:" + p for p in _parts(c.key)} | {"a:" + p for name in c.around[-2:] for p in _parts(name)}
-    return [zlib.crc32(x.encode()) % _BUCKETS for x in names]
+    bits = 0
+    for x in names:
+        bits |= 1 << zlib.crc32(x.encode()) % _BUCKETS
+    return bits - (1 << _BUCKETS) if bits >> _BUCKETS - 1 else bits
+
+
+def _packed(flags: list[bool]) -> int:
+    return sum(1 << k for k, f in enumerate(flags) if f)
 
 
 def weak_label(c: Candidate, flags: list[bool], numbers: list[float]) -> int | None:
@@ -389,7 +398,7 @@ def weak_label(c: Candidate, flags: list[bool], numbers: list[float]) -> int | N
     f = dict(zip(FLAGS, flags))
     if c.kind == "pem":
         return 1
-    if f["placeholder"] or f["uuid"] or f["assigned_code"] or (f["wordy"] and c.kind in ("quoted", "pair", "bare")):
+    if f["placeholder"] or f["uuid"] or f["assigned_code"] or (f["wordy"] and not f["vendor"] and c.kind in ("quoted", "pair", "bare")):
         return 0
     if f["other_key"] and not f["vendor"]:
         return 0
@@ -421,11 +430,16 @@ class Model:
 
     def scores(self, found: list[tuple[Candidate, str]]) -> np.ndarray:
         """Calibrated scores of candidates with their paths."""
-        numbers = (numbers_of([c.value for c, _ in found], self.markov) - self.mean) / self.deviation
-        x = np.zeros((len(found), _WIDTH))
-        for row, num, (c, path) in zip(x, numbers, found):
-            _fill(row, num, _flags(c, path), _hashed(c))
-        return _sigmoid(self.slope * (x @ self.weights) + self.shift)
+        return self.scores_of([c.value for c, _ in found], [_packed(_flags(c, path)) for c, path in found], [_hashed(c) for c, _ in found])
+
+    def scores_of(self, values: list[str], flags: list[int], names: list[int]) -> np.ndarray:
+        """The same of values with their flags and names as bits, some thousands at a time."""
+        out = np.zeros(len(values))
+        for k in range(0, len(values), 4096):
+            part = slice(k, k + 4096)
+            x = _matrix(numbers_of(values[part], self.markov), np.array(flags[part], np.int64), np.array(names[part], np.int64), self.mean, self.deviation)
+            out[part] = _sigmoid(self.slope * (x @ self.weights) + self.shift)
+        return out
 
     def secrets(self, text: str, path: str = "") -> list[tuple[int, str]]:
         """(offset, value) of the credentials in a text."""
@@ -458,25 +472,32 @@ class Model:
 _WIDTH = 1 + len(NUMERIC) + len(FLAGS) + _BUCKETS
 
 
-def _fill(row: np.ndarray, numbers: np.ndarray, flags: list[bool], hashed: list[int]) -> None:
-    row[0] = 1.0
-    row[1 : 1 + len(NUMERIC)] = numbers
-    row[1 + len(NUMERIC) : 1 + len(NUMERIC) + len(FLAGS)] = flags
-    for h in hashed:
-        row[1 + len(NUMERIC) + len(FLAGS) + h] = 1.0
+def _matrix(numbers: np.ndarray, flags: np.ndarray, names: np.ndarray, mean: np.ndarray, deviation: np.ndarray) -> np.ndarray:
+    """A row of the regression for each candidate."""
+    x = np.ones((len(flags), _WIDTH))
+    x[:, 1 : 1 + len(NUMERIC)] = (numbers - mean) / deviation
+    x[:, 1 + len(NUMERIC) : _WIDTH - _BUCKETS] = flags[:, None] >> np.arange(len(FLAGS)) & 1
+    x[:, _WIDTH - _BUCKETS :] = np.unpackbits(names.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return x
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, centre: np.ndarray, strength: float) -> np.ndarray:
-    """Logistic regression with a normal prior around ``centre``, by damped Newton steps."""
-    w = centre.copy()
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """First and second derivatives of the logistic loss, one after the other: sums over the rows."""
+    p = _sigmoid(x @ w)
+    return np.r_[x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+
+
+def _fit(slopes: Callable[[np.ndarray], np.ndarray], centre: np.ndarray, strength: float) -> np.ndarray:
+    """Logistic regression with a normal prior around ``centre``, by damped Newton steps on ``slopes`` of all rows."""
+    w, d = centre.copy(), len(centre)
     for _ in range(50):
-        p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + strength * (w - centre)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+        sums = slopes(w)
+        gradient = sums[:d] + strength * (w - centre)
+        hessian = sums[d:].reshape(d, d) + strength * np.eye(d)
         step = np.linalg.solve(hessian, gradient)
         step *= min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
         w -= step
@@ -509,88 +530,230 @@ def lessons() -> list[tuple[str, str]]:
     return [("\n".join(out[i : i + 50]), "src/a.py") for i in range(0, len(out), 50)]
 
 
-#: (numbers, flags, hashed names, weak label, hash of the candidate) of one candidate of the sample.
-Lesson = tuple[list[float], list[bool], list[int], int | None, int]
+#: (offset, value, flags, names, weak label or -1, hash) of a candidate; flags and names are bits.
+Lesson = tuple[int, str, int, int, int, int]
+#: What a sum over lessons is taken of: numbers (a row each), flags, names, labels and hashes.
+Columns = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
 
+def study(texts: list[tuple[str | None, str]]) -> list[list[Lesson]]:
+    """What a model learns from and judges: every candidate of each text with its features and weak label."""
+    out: list[list[Lesson]] = [[] for _ in texts]
+    held: list[tuple[int, Candidate, str]] = []
 
-def study(texts: Iterable[tuple[str, str]], markov: Markov) -> Iterator[Lesson]:
-    """What a model learns from: every candidate of the texts with its features and weak label."""
-    for text, path in texts:
-        found = candidates(text)
-        for c, numbers in zip(found, numbers_of([c.value for c in found], markov).tolist()):
+    def settle() -> None:
+        for (k, c, path), numbers in zip(held, numbers_of([c.value for _, c, _ in held], _NO_WORDS).tolist()):
             flags = _flags(c, path)
-            yield numbers, flags, _hashed(c), weak_label(c, flags, numbers), xxhash.xxh3_64_intdigest(f"{c.kind}\0{c.key}\0{c.value}") - (1 << 63)
-
-
-def fit(lessons: list[Lesson], markov: Markov) -> Model:
-    """Model from weakly labelled candidates, each once; every fifth is held out for calibration."""
-    rows = sorted({x[4]: x for x in lessons if x[3] is not None}.values(), key=lambda x: x[4])
-    numbers = np.array([x[0] for x in rows]) if rows else np.zeros((1, len(NUMERIC)))
-    mean, deviation = numbers.mean(0), numbers.std(0) + 1e-3
-    x = np.zeros((len(rows), _WIDTH))
-    for row, (num, flags, hashed, _, _) in zip(x, rows):
-        _fill(row, (np.array(num) - mean) / deviation, flags, hashed)
-    y = np.array([r[3] for r in rows], float)
+            label = weak_label(c, flags, numbers)
+            out[k].append((c.start, c.value, _packed(flags), _hashed(c), -1 if label is None else label, xxhash.xxh3_64_intdigest(f"{c.kind}\0{c.key}\0{c.value}") - (1 << 63)))
+        held.clear()
+
+    for k, (text, path) in enumerate(texts):
+        for c in candidates(text) if text else ():
+            held.append((k, c, path))
+            if len(held) >= 4096:
+                settle()
+    settle()
+    return out
+
+
+#: Weak labels look at shapes alone, which need no likelihood.
+_NO_WORDS = Markov(np.zeros((_CODES, _CODES)))
+
+
+def _columns(found: list[list[Lesson]], markov: Markov) -> Columns:
+    """The labelled candidates of texts, each different one once."""
+    rows = list(dict.fromkeys(x[1:] for own in found for x in own if x[4] >= 0))
+    flags, names, labels, hashes = (np.array([x[k] for x in rows], np.int64) for k in range(1, 5))
+    return numbers_of([x[0] for x in rows], markov), flags, names, labels, hashes
+
+
+def fit(total: Callable[[Callable[..., np.ndarray]], np.ndarray], markov: Markov) -> Model:
+    """Model from weakly labelled candidates, of which ``total`` gives the sum of any function of their columns; a fifth of
+    them by hash is held out for calibration."""
+    n = len(NUMERIC)
+    sums = total(lambda numbers, flags, names, y, h: np.r_[len(y), y.sum(), (h % 5 == 4).sum(), y[h % 5 == 4].sum(), numbers.sum(0)])
+    count, positive, held, held_positive = sums[:4]
+    mean = sums[4:] / max(count, 1)
+    deviation = np.sqrt(total(lambda numbers, *_: ((numbers - mean) ** 2).sum(0)) / max(count, 1)) + 1e-3
     model = Model(markov, mean, deviation, np.zeros(_WIDTH), 1.0, 0.0)
-    if len(set(y)) < 2:
+    if not 0 < positive - held_positive < count - held:
         return model
-    held = np.arange(len(y)) % 5 == 4
-    model.weights = _fit(x[~held], y[~held], np.zeros(_WIDTH), RIDGE)
-    if len(set(y[held])) == 2:
-        z = np.c_[x[held] @ model.weights, np.ones(held.sum())]
-        model.slope, model.shift = map(float, _fit(z, y[held], np.array([1.0, 0.0]), 5.0))
+
+    def fitted(w: np.ndarray) -> np.ndarray:
+        def slopes(numbers: np.ndarray, flags: np.ndarray, names: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+            own = h % 5 != 4
+            return _slopes(_matrix(numbers[own], flags[own], names[own], mean, deviation), y[own], w)
+
+        return total(slopes)
+
+    model.weights = weights = _fit(fitted, np.zeros(_WIDTH), RIDGE)
+    if 0 < held_positive < held:
+
+        def calibrated(w: np.ndarray) -> np.ndarray:
+            def slopes(numbers: np.ndarray, flags: np.ndarray, names: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+                own = h % 5 == 4
+                z = _matrix(numbers[own], flags[own], names[own], mean, deviation) @ weights
+                return _slopes(np.c_[z, np.ones(len(z))], y[own], w)
+
+            return total(slopes)
+
+        model.slope, model.shift = map(float, _fit(calibrated, np.array([1.0, 0.0]), 5.0))
         model.slope = max(model.slope, 0.05)
     return model
 
 
 def train(texts: list[tuple[str, str]]) -> Model:
     """Model from (text, path) pairs held in memory; :func:`learn` does the same for tables."""
-    texts = [*lessons(), *texts]
-    markov = Markov(sum((transitions(t) for t, _ in texts), np.zeros((_CODES, _CODES))))
-    return fit(list(study(texts, markov)), markov)
+    made_up = lessons()
+    markov = Markov(sum(transitions(t) for t, _ in [*made_up, *texts]))
+    parts = [_columns(study(made_up), markov), _columns(study(texts), markov)]
+    return fit(lambda f: sum(f(*columns) for columns in parts), markov)
 
 
-def learn(sources: list[tuple[DataFrame, str, str, str | None]], rows: int = TRAIN_TEXTS) -> Model:
-    """Model from (table, id, text, path column) of each source: about ``rows`` texts of each, those of least hash.
+#: (name, table, id column, text column, path column or None).
+Source = tuple[str, DataFrame, str, str, str | None]
+_READ = "tbl string, k bigint, t string, starts array<bigint>, found array<string>, flags array<bigint>, names array<bigint>, labels array<int>, hashes array<bigint>, cells array<int>, counts array<double>"
 
-    Texts stay in the tasks: what comes to the driver is one matrix of character transitions and the features of at
-    most ``TRAIN_CANDIDATES`` candidates.
+
+def gather(sources: list[Source], with_texts: bool = False) -> DataFrame:
+    """One pass over all texts, each different row once: a written table of every row's candidates with their features and
+    weak labels (all rows with their texts if asked, else those that have candidates), and the counts of character
+    transitions of each task in rows of their own (``cells``).
+
+    Rows without an id are not learned from.
     """
-    sampled = []
-    for df, id_column, text_column, path_column in sources:
+    rows = []
+    for name, df, id_column, text_column, path_column in sources:
         place = F.coalesce(F.col(path_column).cast("string"), F.lit("")) if path_column else F.lit("")
-        texts = df.select(F.col(id_column).alias("k"), F.col(text_column).cast("string").alias("t"), place.alias("p")).where("t is not null")
-        sampled.append(least_by_hash(texts, "k", rows).select("t", "p"))
-    texts = durable(reduce(DataFrame.unionByName, sampled))
-    texts = spread(texts)
+        rows.append(df.select(F.lit(name).alias("tbl"), F.col(id_column).cast("bigint").alias("k"), F.col(text_column).cast("string").alias("t"), place.alias("p")))
+    texts = reduce(DataFrame.unionByName, rows)
+    if not with_texts:
+        texts = texts.where("k is not null and t is not null")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((_CODES, _CODES))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        names = [x.split()[0] for x in _READ.split(", ")]
+        total, held, size = np.zeros((_CODES, _CODES)), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                total += transitions(text.as_py())
+            values = batch.column(2).to_pylist()
+            for key, text in zip(batch.column(1).to_pylist(), values):
+                if key is not None and text:
+                    held.append(text)
+                    size += len(text)
+                    if size >= 1 << 20:
+                        total += transitions("\n".join(held))
+                        held, size = [], 0
+            found = study(list(zip(values, batch.column(3).to_pylist())))
+            if not with_texts:
+                batch = batch.filter(pa.array([bool(x) for x in found], pa.bool_()))
+                found = [x for x in found if x]
+            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32))
+            flat = list(zip(*itertools.chain.from_iterable(found))) or [()] * 6
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c, k)) for c, k in zip(flat, kinds)]
+            n = len(found)
+            kept = batch.column(2) if with_texts else pa.nulls(n, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, *lists, pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.float64()))], names)
+        if held:
+            total += transitions("\n".join(held))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total.ravel()[used])], ["cell", "n"])
+        nothing = [pa.nulls(1, k) for k in (pa.string(), pa.int64(), pa.string(), *map(pa.list_, kinds))]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([used], pa.list_(pa.int32())), pa.array([total.ravel()[used]], pa.list_(pa.float64()))], names)
+
+    return durable(texts.distinct().mapInArrow(run, _READ))
+
 
-    total = sum(transitions(t) for t, _ in lessons())
-    for r in texts.select("t").mapInArrow(count, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        total[divmod(r["cell"], _CODES)] += r["n"]
-    markov = Markov(total)
+def _total(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of an array of fixed size over all batches; only the sum comes to the driver."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(f(batch) for batch in batches)
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total, pa.float64())], ["cell", "n"])
+
+    found = df.mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(found))
+    for cell, n in found:
+        out[cell] = n
+    return out
+
+
+def learn_from(read: DataFrame) -> Model:
+    """Model from all texts of :func:`gather`, with the made-up ones."""
+    made_up = lessons()
+    counts = sum(transitions(t) for t, _ in made_up)
+    for cell, n in read.where("cells is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy("x.cells").agg(F.sum("x.counts").alias("n")).collect():
+        counts[divmod(cell, _CODES)] += n
+    markov = Markov(counts)
+    own = _columns(study(made_up), markov)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(study(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), markov))
-            columns = list(zip(*found)) or [()] * 5
-            kinds = (pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["numbers", "flags", "names", "label", "h"])
-
-    found = texts.mapInArrow(read, "numbers array<double>, flags array<boolean>, names array<int>, label int, h bigint").where("label is not null")
-    found = found.dropDuplicates(["h"]).orderBy("h").limit(TRAIN_CANDIDATES).collect()
-    model = fit([*study(lessons(), markov), *map(tuple, found)], markov)
-    drop_durable(texts)
+            numbers = numbers_of(batch.column(0).to_pylist(), markov)
+            ends = pa.array(np.arange(len(numbers) + 1, dtype=np.int32) * len(NUMERIC))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(numbers.ravel())), *batch.columns[1:]], ["numbers", "flags", "names", "labels", "hashes"])
+
+    each = read.where("k is not null").select(F.explode(F.arrays_zip("found", "flags", "names", "labels", "hashes")).alias("x")).select("x.*").where("labels >= 0").distinct()
+    found = durable(each.mapInArrow(measure, "numbers array<double>, flags bigint, names bigint, labels int, hashes bigint"))
+    tasks = found.count() // LESSONS_OF_A_TASK + 1
+
+    def total(f: Callable[..., np.ndarray]) -> np.ndarray:
+        def of(batch: pa.RecordBatch) -> np.ndarray:
+            numbers, *others = batch.columns
+            return f(numbers.flatten().to_numpy().reshape(-1, len(NUMERIC)), *(c.to_numpy().astype(np.int64) for c in others))
+
+        got = _total(found.coalesce(tasks), of)
+        return f(*own) + got if len(got) else f(*own)
+
+    model = fit(total, markov)
+    drop_durable(found)
+    return model
+
+
+def learn(sources: list[tuple[DataFrame, str, str, str | None]], rows: int | None = None) -> Model:
+    """Model from all texts of (table, id, text, path column) of each source; ``rows`` bounds the texts of each for trials
+    (those of least hash)."""
+    named = [(str(k), least_by_hash(df, id_column, rows) if rows is not None else df, id_column, *others) for k, (df, id_column, *others) in enumerate(sources)]
+    read = gather(named)
+    model = learn_from(read)
+    drop_durable(read)
     return model
 
 
+def found_in(read: DataFrame, model: Model) -> DataFrame:
+    """``tbl, row_id, secret`` of a gathered table: one row per different credential of a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables, keys, found, flags, names = batch.columns
+            owner = found.value_parent_indices()
+            values = found.flatten()
+            hit = pa.array(model.scores_of(values.to_pylist(), flags.flatten().to_pylist(), names.flatten().to_pylist()) >= THRESHOLD)
+            owner = owner.filter(hit)
+            yield pa.RecordBatch.from_arrays([tables.take(owner), keys.take(owner), values.filter(hit)], ["tbl", "row_id", "secret"])
+
+    rows = read.where("k is not null and size(found) > 0").select("tbl", "k", "found", "flags", "names")
+    return spread(rows).mapInArrow(run, "tbl string, row_id bigint, secret string").distinct()
+
+
+def redacted_in(read: DataFrame, model: Model) -> DataFrame:
+    """``tbl, row_id, text`` of a table gathered with its texts, credentials masked, for every row (null text stays null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables, keys, texts, starts, found, flags, names = batch.columns
+            scores = model.scores_of(found.flatten().to_pylist(), flags.flatten().to_pylist(), names.flatten().to_pylist())
+            hits: dict[int, list[tuple[int, str]]] = {}
+            for k, at, value, score in zip(found.value_parent_indices().to_pylist(), starts.flatten().to_pylist(), found.flatten().to_pylist(), scores):
+                if score >= THRESHOLD:
+                    hits.setdefault(k, []).append((at, value))
+            masked = [_masked(t, hits[k]) if k in hits else t for k, t in enumerate(texts.to_pylist())]
+            yield pa.RecordBatch.from_arrays([tables, keys, pa.array(masked, pa.string())], ["tbl", "row_id", "text"])
+
+    rows = read.where("cells is null").select("tbl", "k", "t", "starts", "found", "flags", "names")
+    return spread(rows).mapInArrow(run, "tbl string, row_id bigint, text string")
+
+
 def find(df: DataFrame, model: Model, *, id_column: str, text_column: str, path_column: str | None = None) -> DataFrame:
     """``row_id, secret``: one row per different credential of a row."""
 

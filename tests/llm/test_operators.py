@@ -78,6 +78,23 @@ def test_secrets(spark):
     assert secrets.find(df.limit(0), secrets.train([]), id_column="id", text_column="text").count() == 0
 
 
+def test_secrets_are_learned_from_every_text(spark):
+    """As many texts as no sample would take: the model of the table is that of all its texts, and rows repeated, rows
+    without id or text and the number of partitions change nothing."""
+    texts = [(k, f'a_{k} = "word{k % 7}ing_{k}"\npassword = "q{k * 7919:x}Zb6W{k}uK"\nzq{"xyw"[k % 3] * 3}s\n', f"src/f{k % 3}.py") for k in range(4300)]
+    whole = secrets.train([(t, p) for _, t, p in texts])
+    df = spark.createDataFrame([*texts, *texts[:500], (None, 'token = "zzzzqq11qqzz22"', "a.py"), (9999, None, "a.py")], "id bigint, text string, path string")
+    for table in (df.repartition(5), df.coalesce(1)):
+        model = secrets.learn([(table, "id", "text", "path")])
+        for name in ("mean", "deviation", "weights", "slope", "shift"):
+            assert getattr(model, name) == pytest.approx(getattr(whole, name), rel=1e-6, abs=1e-6), name
+        assert model.markov.logp == pytest.approx(whole.markov.logp)
+    read = secrets.gather([("t", df, "id", "text", "path")], with_texts=True)
+    options = {"id_column": "id", "text_column": "text", "path_column": "path"}
+    assert rows(secrets.found_in(read, model).select("row_id", "secret")) == rows(secrets.find(df, model, **options))
+    assert rows(secrets.redacted_in(read, model).select("row_id", "text")) == rows(secrets.redacted(df, model, **options).distinct())
+
+
 def test_provenance(spark):
     body, other = (open(m.__file__, encoding="utf-8").read() for m in (splitting, leakage))
     df = spark.createDataFrame(
