@@ -72,8 +72,7 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective pairs of prompt and response, with their defect."""
-    requests = table(spark, sf_dir, "requests")
-    return pairs.defects(requests, pairs.train(pairs.sample(requests)))
+    return pairs.found(table(spark, sf_dir, "requests"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,48 @@ def test_pair_defects(spark):
     assert pairs.defects(df.limit(0), pairs.train([])).count() == 0
 
 
+def odd_pairs(n):
+    """Pairs of which every tenth ends in a sign of its own, so that a model that did not see it takes it for a cut."""
+    words = "the cache of a module is read before its graph and the parser moves to another layer that holds every edge".split()
+    german = "Die Klasse wird nicht mit der Datei geladen und die Tests sind danach ohne weitere Arbeit wieder grün."
+    out = []
+    for k in range(n):
+        said = " ".join(words[(k * 7 + j * j) % len(words)] for j in range(12))
+        end = chr(0x2200 + k // 10) if k % 10 == 0 and k < 2000 else "." if k % 31 else ""
+        out.append((k, "How does the parser of the module read the graph?", None, german if k % 97 == 3 else said + end + ("\n```\nx = 1" if k % 89 == 1 else ""), None))
+    return [*out, (n, "Why is it so now?", None, "Why is it so now?", None), (n + 1, "q", "p", None, None), (n + 2, "q", "p", None, "e"), (n + 3, None, None, "\u2200 is all of them.", "e")]
+
+
+def test_pair_models_are_learned_from_every_pair(spark, tmp_path):
+    """More pairs than a sample would take; rows repeated, without an id or a response and the layout change nothing."""
+    given = odd_pairs(6000)
+    model = pairs.train([(q, r) for _, q, _, r, _ in given if r is not None])
+    want = sorted(((k, d) for k, *texts in given if (d := model.defect(*texts))), key=str)
+    assert {d for _, d in want} == {"empty", "copy", "language", "truncated"}
+    df = spark.createDataFrame([*given, *given[:700], (None, "q", "p", "The rest is \u2201", None)], "id bigint, request string, prompt string, response string, error string").withColumn("defect", F.lit(1))
+    for k, table in enumerate((df.repartition(7), df.coalesce(1))):
+        table.write.parquet(f"{tmp_path}/{k}/requests.parquet")
+        assert rows(queries.p6_found(spark, f"{tmp_path}/{k}")) == want
+    assert pairs.found(df.limit(0)).count() == 0
+
+
+def test_pair_counts_do_not_depend_on_when_they_are_handed_on(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*odd_pairs(300))], ["id", "request", "prompt", "response", "error"])
+
+    def counted():
+        total = {}
+        for r in (r for out in pairs._study(iter([batch])) for r in out.to_pylist() if r["ends"] is not None):
+            key = tuple(r[k] for k in ("open", "tail", "a", "b", "c", "kind"))
+            total[key] = tuple(map(sum, zip(total.get(key, (0, 0)), (r["ends"], r["inners"]))))
+        return total
+
+    whole = counted()
+    monkeypatch.setattr(pairs, "GRAMS_AT_ONCE", 10)
+    assert counted() == whole and len(whole) > 300
+
+
 def test_grades(spark):
     easy = "The tree stops. It needs one page now. The dog eats the food. " * 12
     hard = "The heterogeneous encapsulation of the architecture fundamentally presupposes the interoperability of the configuration because the probabilistic serialisation delineates its idiosyncratic responsibility, although the parameterisation exacerbates the decomposition. " * 6
