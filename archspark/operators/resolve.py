@@ -36,14 +36,16 @@ def prefix_index(files: DataFrame, top: int = 1) -> DataFrame:
 
     A file shares at least k leading components with another exactly if it lies below the other's first k, so the best
     candidate of an import is found by looking up its own prefixes; no import ever meets all files of a common name.
+
+    The index has many rows a file, which Spark's estimates count as one: the hint keeps it from being broadcast.
     """
     spread = suffix_index(files).select("suffix", "ordinal", "path", F.explode(_prefixes(F.col("path"))).alias("x")).select("suffix", "x.*", "ordinal", "path")
     counted = spread.groupBy("suffix", "shared", "prefix").agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "path")).alias("first"))
     if top == 1:
-        return counted.select("suffix", "shared", "prefix", "n", F.array("first").alias("best"))
+        return counted.select("suffix", "shared", "prefix", "n", F.array("first").alias("best")).hint("merge")
     order = Window.partitionBy("suffix", "shared", "prefix").orderBy("ordinal", "path")
     heads = spread.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).groupBy("suffix", "shared", "prefix").agg(F.array_sort(F.collect_list(F.struct("ordinal", "path"))).alias("best"))
-    return counted.drop("first").join(heads, ["suffix", "shared", "prefix"])
+    return counted.drop("first").join(heads.hint("merge"), ["suffix", "shared", "prefix"]).hint("merge")
 
 
 def _targets(imports: DataFrame) -> DataFrame:
